@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import near_dedup
+from . import lm_score, near_dedup
 
 QUERIES = {
     "op8_near_dedup": near_dedup.op8,
+    "op9_lm_score": lm_score.op9,
 }
 
 ORACLE_SQL: dict[str, str] = {}
