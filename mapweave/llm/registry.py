@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import lm_score, near_dedup
+from . import fingerprint, lm_score, near_dedup
 
 QUERIES = {
+    "op7_fingerprint": fingerprint.op7,
     "op8_near_dedup": near_dedup.op8,
     "op9_lm_score": lm_score.op9,
 }
