@@ -50,6 +50,22 @@ def fold(text):
     return F.translate(text, UPPER, LOWER)
 
 
+def likely_in(df: DataFrame, key, keys: DataFrame, bits: int = 24) -> DataFrame:
+    """The rows of df whose hash key (a long column expression) may be among keys.key: a filter ahead of a shuffle.
+
+    A bitmap of 2**bits bits, 2 MB by default, is broadcast in rows of 4 KB;
+    its size doesn't depend on the data.  Rows are let through without need
+    as it fills up, but none is lost.
+    """
+    spot = lambda c: F.pmod(c, F.lit(1 << bits)) + 1
+    maps = keys.select(spot(F.col("key")).alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("__bucket"))
+    maps = maps.agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("__map"))
+    at = F.bitmap_bit_position(spot(key))
+    byte = F.conv(F.hex(F.substring(F.col("__map"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    found = df.join(F.broadcast(maps), (F.bitmap_bucket_number(spot(key)) == F.col("__bucket")) & (F.getbit(byte, (at % 8).cast("int")) == 1))
+    return found.drop("__bucket", "__map")
+
+
 def crc_mod(column, n: int):
     """crc32 of the value as text, modulo n; null for null."""
     return F.crc32(F.col(column).cast("string")) % n

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from . import fingerprint, lm_score, near_dedup
+from . import decontaminate, fingerprint, line_dedup, lm_score, mixing, near_dedup, quality
 
 QUERIES = {
+    "op1_quality": quality.op1,
+    "op2_decontamination": decontaminate.op2,
+    "op3_mixing": mixing.op3,
     "op7_fingerprint": fingerprint.op7,
     "op8_near_dedup": near_dedup.op8,
     "op9_lm_score": lm_score.op9,
+    "op10_line_dedup": line_dedup.op10,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_decontamination": decontaminate.ORACLE_SQL,
+}
