@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import Scratch, components
+from .common import Scratch, components, likely_in
 
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
@@ -199,7 +199,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     blocks = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("n_blocks"))
     members = members.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("rep"), "n_blocks"))
     members = scratch.store(members.select("root", "rep", "text_key", "n_blocks", "block"))
-    texts = rows.join(members, (rows.id == members.rep) & (rows.text_key == members.text_key)).drop(rows.text_key).dropDuplicates(["rep", "text_key"])
+    needed = likely_in(rows, F.xxhash64("id", "text_key"), members.select(F.xxhash64("rep", "text_key").alias("key")))
+    texts = needed.join(members, (needed.id == members.rep) & (needed.text_key == members.text_key)).drop(needed.text_key).dropDuplicates(["rep", "text_key"])
     pairs = texts.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1))).select(
         "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "text"
     )
