@@ -80,7 +80,8 @@ def likeness(a: Column, b: Column) -> Column:
     equal = F.size(F.filter(F.arrays_zip(F.split(a, "").alias("x"), F.split(b, "").alias("y")), lambda z: z["x"] == z["y"]))
     by_chance = 1 / (1 << BITS)
     value = (equal / BINS - by_chance) / (1 - by_chance)
-    return F.when((a == "") | (b == ""), F.when(a == b, 1.0).otherwise(0.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), value)))
+    held = F.least(F.lit(1.0), F.greatest(F.lit(0.0), value))
+    return F.when(a.isNotNull() & b.isNotNull(), F.when((a == "") | (b == ""), (a == b).cast("double")).otherwise(held))
 
 
 def successors(ids: DataFrame, widths=(14, 25)) -> DataFrame:
@@ -115,7 +116,8 @@ def compare_edits(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """
     scratch = Scratch(docs.sparkSession, "fingerprint")
     base = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    ids = base.filter("id is not null").groupBy("id").agg(F.min(F.xxhash64("text")).alias("key"), F.max(F.length("text")).alias("n"))
+    named = base.filter("id is not null")
+    ids = named.groupBy("id").agg(F.min(F.xxhash64("text")).alias("key"), F.max(F.length("text")).alias("n"))
     ids = scratch.store(ids)
     least = ids.agg(F.min("id").alias("x")).first().x
     order = scratch.store(successors(ids).withColumn("next_id", F.coalesce("next_id", F.lit(least))))
@@ -126,9 +128,10 @@ def compare_edits(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     )
     asked = asked.withColumnRenamed("id", "of_id")
     same = ~((F.xxhash64("text") < F.col("key")) | (F.xxhash64("text") > F.col("key")))  # not an equality: texts are dealt by id alone, once
-    heads = base.join(asked, (base.id == asked.of_id) & same).select("for_id", F.col("of_id").alias("next_id"), F.expr("left(text, need)").alias("head"))
+    heads = named.join(asked, (named.id == asked.of_id) & same).select("for_id", F.col("of_id").alias("next_id"), F.expr("left(text, need)").alias("head"))
     heads = heads.groupBy("for_id").agg(F.any_value("next_id").alias("next_id"), F.any_value("head").alias("head"))
-    joined = base.join(heads, base.id == heads.for_id, "left")
+    joined = named.join(heads, named.id == heads.for_id, "left").drop("for_id")
+    joined = joined.unionByName(base.filter("id is null"), allowMissingColumns=True)
     n = F.length("text")
     edited = F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 4) as int))"), F.expr("left(coalesce(head, ''), cast(floor(length(text) / 4) as int))"))
     joined = joined.select("id", "next_id", "text", edited.alias("edited"))
