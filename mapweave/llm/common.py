@@ -74,20 +74,24 @@ def crc_mod(column, n: int):
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) for every node of undirected edges (a, b); root is the smallest node reachable.
 
-    Contraction: each node points at its smallest smaller neighbour, then at
-    that one's; edges are renamed by the pointers and shrink until none is
-    left.  A round keeps every connection, because the edge to the parent is
-    renamed along with the rest.  The smallest node of a component is never
-    renamed, so it is what remains.  Each round is a few joins of the edges
-    still left and is written, so that lost executors cost one round.
+    Contraction: each node points at its smallest smaller neighbour; pointers
+    are doubled until they end at nodes without a smaller neighbour; edges are
+    renamed by them and shrink until none is left.  A round at least halves
+    the nodes of a component, and doubling takes the logarithm of the longest
+    path, so sorted chains end as soon as stars.  The smallest node of a
+    component is never renamed, so it is what remains.  Each step is a join of
+    the edges still left and is written, so lost executors cost one step.
     """
     e = scratch.store(edges.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).filter("u < v").distinct())
     labels = scratch.store(e.select(F.explode(F.array("u", "v")).alias("node")).distinct())
     labels = labels.withColumn("root", F.col("node"))
     while not e.isEmpty():
         up = e.groupBy("v").agg(F.min("u").alias("p"))
-        jump = up.alias("x").join(up.alias("y"), F.col("x.p") == F.col("y.v"), "left").select(F.col("x.v").alias("was"), F.coalesce("y.p", "x.p").alias("now"))
-        jump = scratch.store(jump)
+        jump = scratch.store(up.select(F.col("v").alias("was"), F.col("p").alias("now"), F.lit(True).alias("moved")))
+        while not jump.filter("moved").isEmpty():
+            far = jump.select(F.col("was").alias("now"), F.col("now").alias("then"))
+            jump = scratch.store(jump.join(far, "now", "left").select("was", F.coalesce("then", "now").alias("now"), F.col("then").isNotNull().alias("moved")))
+        jump = jump.drop("moved")
         e = (
             e.join(jump.withColumnsRenamed({"was": "u", "now": "nu"}), "u", "left")
             .join(jump.withColumnsRenamed({"was": "v", "now": "nv"}), "v", "left")
