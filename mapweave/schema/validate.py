@@ -10,6 +10,7 @@ import json
 import re
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -246,10 +247,9 @@ def error_column(c: Column, t: T.DataType, json_text: Column, schema: Any) -> Co
         parts = [F.when(bad, F.struct(F.lit(p).alias("path"), F.lit(m).alias("message"))) for p, m, bad in found]
         return F.array_compact(F.array(*parts)).cast(ERRORS) if parts else F.array().cast(ERRORS)
     except NotTyped:
-        import pandas as pd
 
-        @F.pandas_udf(ERRORS)
+        @F.pandas_udf("string")
         def check(texts: pd.Series) -> pd.Series:
-            return texts.map(lambda t: [{"path": p, "message": m} for p, m in errors_of(None if t is None else json.loads(t), schema)])
+            return texts.map(lambda t: json.dumps([{"path": p, "message": m} for p, m in errors_of(None if t is None else json.loads(t), schema)]))
 
-        return check(json_text)
+        return F.from_json(check(json_text), ERRORS)
