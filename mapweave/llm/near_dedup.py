@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from . import textkernel as K
 from .common import Scratch, components, likely_in
+from .decontaminate import SQL_SETS, SQL_SHINGLES
 
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
@@ -225,3 +226,15 @@ def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_duplicates(docs).select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
+ORACLE_SQL = f"""
+WITH RECURSIVE d AS MATERIALIZED ({SQL_SETS.format(SQL_SHINGLES.format(id="doc_id", table="documents"))}),
+     n AS MATERIALIZED (SELECT id, count(*) AS n FROM d GROUP BY id),
+     links AS MATERIALIZED (
+       SELECT x.id AS a, y.id AS b FROM d AS x JOIN d AS y ON x.s = y.s AND x.id <> y.id JOIN n AS p ON p.id = x.id JOIN n AS q ON q.id = y.id
+       GROUP BY x.id, y.id, p.n, q.n HAVING 100 * count(*) >= 75 * (p.n + q.n - count(*))),
+     reach(id, other) AS (SELECT id, id FROM n UNION SELECT reach.id, links.b FROM reach JOIN links ON links.a = reach.other)
+SELECT documents.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component, documents.doc_id) AS component_id, documents.doc_id = coalesce(c.component, documents.doc_id) AS kept
+FROM documents LEFT JOIN n ON n.id = doc_id LEFT JOIN (SELECT id, min(other) AS component FROM reach GROUP BY id) AS c ON c.id = doc_id
+"""

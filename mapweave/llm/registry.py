@@ -19,5 +19,8 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_decontamination": decontaminate.ORACLE_SQL,
+    "op5_url_filter": url_filter.ORACLE_SQL,
     "op6_chat_format": chat_format.ORACLE_SQL,
+    "op8_near_dedup": near_dedup.ORACLE_SQL,
+    "op10_line_dedup": line_dedup.ORACLE_SQL,
 }

@@ -106,3 +106,38 @@ def judge_pages(pages: DataFrame, rules=RULES, id_column="page_id", url_column="
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_pages(spark.read.parquet(f"{sf_dir}/pages.parquet")).withColumnRenamed("id", "page_id")
+
+
+def _oracle_sql() -> str:
+    """The same in SQL; the steps of the iteration are written out."""
+    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')".format
+    fits = [(v, h, p, f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')") for v, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2]))]
+    rule = "CASE " + " ".join(f"WHEN {c} THEN '{h}{p}'" for _, h, p, c in fits) + " END"
+    verdict = "CASE " + " ".join(f"WHEN {c} THEN '{v}'" for v, _, _, c in fits) + " END"
+    link = r"""(?i)\b(?:href|src)\s*=\s*["'']?(?:https?:)?//([^"''\s<>/?#]+)"""
+    steps = "".join(
+        f""",
+     r{k} AS MATERIALIZED (
+       SELECT kind, host, sum(rank) AS rank FROM (
+         SELECT kind, host, {1 - DAMPING} * seed AS rank FROM seeds UNION ALL
+         SELECT kind, b, {DAMPING} * rank * share FROM r{k - 1} JOIN edges USING (kind) WHERE host = a) GROUP BY kind, host)"""
+        for k in range(1, STEPS + 1)
+    )
+    return f"""
+WITH parts AS MATERIALIZED (
+       SELECT page_id, html, {lower(r"coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '')")} AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+     judged AS MATERIALIZED (SELECT page_id, html, host, path, {rule} AS rule, {verdict} AS verdict FROM parts),
+     marked AS (SELECT CASE verdict WHEN 'allow' THEN 'trust' ELSE 'distrust' END AS kind, host, count(*) AS n FROM judged WHERE verdict IS NOT NULL AND host <> '' GROUP BY 1, 2),
+     seeds AS MATERIALIZED (SELECT kind, host, n / sum(n) OVER (PARTITION BY kind) AS seed FROM marked),
+     named AS (SELECT DISTINCT page_id, host AS a, {lower("unnest(regexp_extract_all(html, '" + link + "', 1))")} AS b FROM judged),
+     links AS MATERIALIZED (SELECT a, b, count(*) AS n FROM named WHERE a <> '' AND b <> '' AND a <> b GROUP BY a, b),
+     along AS (SELECT 'trust' AS kind, a, b, n FROM links UNION ALL SELECT 'distrust', b, a, n FROM links),
+     edges AS MATERIALIZED (SELECT kind, a, b, n / sum(n) OVER (PARTITION BY kind, a) AS share FROM along),
+     r0 AS (SELECT kind, host, seed AS rank FROM seeds){steps},
+     hosts AS (SELECT host, coalesce(sum(rank) FILTER (kind = 'trust'), 0) AS trust, coalesce(sum(rank) FILTER (kind = 'distrust'), 0) AS distrust FROM r{STEPS} GROUP BY host)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN distrust >= {THRESHOLD} * (trust + distrust) THEN 'block' ELSE 'allow' END) AS verdict
+FROM judged LEFT JOIN hosts USING (host)
+"""
+
+
+ORACLE_SQL = _oracle_sql()
