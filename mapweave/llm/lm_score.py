@@ -42,7 +42,7 @@ from .common import Scratch, crc_mod
 #: Bytes of text in a block, at most (or one document); n-grams asked of one hash range, at most.
 BLOCK_BYTES, RANGE_ENTRIES = 12 << 20, 1_500_000
 START, END = np.uint64(K.mix_int(0x73746172740001)), np.uint64(K.mix_int(0x656E6400000002))
-ORDER, MU = 2, 40.0
+ORDER, MU = 2, 160.0
 
 _STATE = "n_tokens long, ids array<long>, held array<boolean>, lengths array<int>, tokens binary, words binary"
 
