@@ -65,5 +65,18 @@ def test_layouts_by_fingerprint(spark):
     assert marks[2] == marks[3] != marks[1] and marks[7] is None
 
 
+def test_tables_by_fingerprint(spark):
+    def turns(schema, *rows):
+        return sorted(map(tuple, cf.canonical_table(spark.createDataFrame(list(rows), schema)).collect()))
+
+    want = [(1, 0, "user", "q"), (1, 1, "assistant", "a")]
+    assert turns("conv_id long, extra int, turn int, role string, text string", (1, 5, 0, "user", "q"), (1, 6, 1, "assistant", "a")) == want
+    assert turns("conv_id long, prompt string, response string", (1, "q", "a")) == want
+    assert turns("messages array<struct<content:string,role:string,when:int>>, conv_id long", ([("q", "user", 3), ("a", "assistant", 4)], 1)) == want
+    assert turns("conv_id long, conversations array<struct<from:string,value:string>>", (1, [("human", "q"), ("gpt", "a")])) == want
+    with pytest.raises(ValueError, match="unknown layout"):
+        turns("conv_id long, something string", (1, "x"))
+
+
 def test_empty_table(spark):
     assert cf.format_turns(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
