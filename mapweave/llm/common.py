@@ -18,7 +18,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; where it is unset (as in tests), one temporary folder of this process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return found or _own.setdefault("dir", tempfile.mkdtemp(prefix="scratch-"))
+    if not found:
+        if "dir" not in _own:
+            _own["dir"] = tempfile.mkdtemp(prefix="scratch-")
+        found = _own["dir"]
+    return found
 
 
 class Scratch:
@@ -33,17 +37,6 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, df: DataFrame) -> None:
-        """Delete a stored table that nothing reads any more."""
-        jvm = self.spark._jvm
-        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
 
 def fold(text):
     """Lower-case A-Z alone."""
