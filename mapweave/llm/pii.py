@@ -376,5 +376,6 @@ def digest_text(spans):
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [count(k) for k in KINDS]
     return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(digest_text(F.col("base")), 256).alias("base_sha256"), digest_text(F.concat("base", "added")).alias("spans"))

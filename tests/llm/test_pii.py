@@ -73,3 +73,12 @@ def test_query_columns_and_edge_cases(spark, docs_of, model):
     assert pii.find_pii(docs_of([]), model=model).collect() == []
     assert hashlib.sha256(pii.written(plain("a@b.c")).encode()).hexdigest() == spark.range(1).select(F.sha2(F.lit("email:0:5"), 256)).collect()[0][0]
     assert pii.masked("mail a@b.c now", pii.base_spans("mail a@b.c now")) == "mail <email> now"
+
+
+def test_query(spark, tmp_path):
+    rows = [(1, "é a.b@c.de and 10.0.0.1 or +1 (988) 555-2485"), (2, None), (3, "4111 1111 1111 1111 and 5105-1051-0510-5100, z@y.x")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for r in pii.op4(spark, str(tmp_path)).collect():
+        spans = plain(dict(rows)[r.doc_id] or "")
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for _, k, _ in spans) for x in range(4)]
+        assert r.base_sha256 == hashlib.sha256(pii.written(spans).encode()).hexdigest() and r.spans.startswith(pii.written(spans))
