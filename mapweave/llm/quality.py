@@ -198,7 +198,9 @@ def score_quality(docs: DataFrame, model: RuleModel, text_column: str = "text",
 def drop_low_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: float = 0.5) -> DataFrame:
     """The documents that score at least `least`."""
     model = fit(docs, labels, id_column, text_column)
-    return score_quality(docs, model, text_column, "__score").filter(F.col("__score") >= least).select(*docs.columns)
+    # a generator, not a filter: a filter would be pushed below the statistics and compute them anew for each rule
+    passed = F.explode(F.array_compact(F.array(F.when(model.score() >= least, 1))))
+    return with_statistics(docs, text_column).select(*docs.columns, passed.alias("__passed")).select(*docs.columns)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
