@@ -58,19 +58,29 @@ def resolve_inputs(config: Config, given: dict[str, Any], names) -> dict[str, An
     return found
 
 
+def payload_fields(df: DataFrame, payload: str, names) -> DataFrame:
+    """df with each named field of a Variant payload as __p_name and its type as __t_name, so that each is read once."""
+
+    def field(name):
+        quoted = name.replace("\\", "\\\\").replace("'", "\\'")
+        return F.try_variant_get(F.col(payload), f"$['{quoted}']", "variant")
+
+    df = df.withColumns({f"__p_{n}": field(n) for n in names})
+    return df.withColumns({f"__t_{n}": F.schema_of_variant(F.col(f"`__p_{n}`")) for n in names})
+
+
 class Variables:
-    """Resolves the variables of one configuration against one DataFrame of payloads."""
+    """Resolves the variables of one configuration against one DataFrame of payloads (json: laid out by payload_fields)."""
 
-    def __init__(self, config: Config, df: DataFrame, payload: str | None, inputs: dict[str, Any], resolve_derive_args: bool):
-        self.config, self.inputs, self.payload, self.bind = config, inputs, payload, resolve_derive_args
+    def __init__(self, config: Config, df: DataFrame, json: bool, inputs: dict[str, Any], resolve_derive_args: bool):
+        self.config, self.inputs, self.json, self.bind = config, inputs, json, resolve_derive_args
         self.fields = {f.name: f.dataType for f in df.schema.fields}
 
     def raw(self, name: str):
         """(is null, coerce) of the payload value; None where there is no such column."""
-        if self.payload is not None:
-            quoted = name.replace("\\", "\\\\").replace("'", "\\'")
-            v = F.try_variant_get(F.col(f"`{self.payload}`"), f"$['{quoted}']", "variant")
-            return v.isNull() | F.is_variant_null(v), lambda kind: coerce_variant(v, kind)
+        if self.json:
+            v, shape = F.col(f"`__p_{name}`"), F.col(f"`__t_{name}`")
+            return shape.isNull() | (shape == "VOID"), lambda kind: coerce_variant(v, kind, shape)
         if name not in self.fields:
             return None
         c, source = F.col("`" + name.replace("`", "``") + "`"), self.fields[name]
@@ -140,9 +150,9 @@ class Variables:
             missing, coerce = raw
             own, bad = coerce(v.type)
             wrong = diagnostic("VARIABLE_TYPE", f"variable {name} isn't of type {v.type}", where, type=v.type)
-            if v.default is not None and v.type in ("object", "array") and self.payload is None and self.fields[name].typeName() in ("struct", "map", "array"):
+            if v.default is not None and v.type in ("object", "array") and not self.json and self.fields[name].typeName() in ("struct", "map", "array"):
                 own = F.to_variant_object(own)  # the default is a Variant
-            if self.payload is not None and v.type == "number":
+            if self.json and v.type == "number":
                 rest = Resolved(rest.value.cast("variant"), rest.problem)
             value = own if v.default is None and not v.derive else F.when(missing, rest.value).otherwise(own)
             problem = F.when(missing, rest.problem).when(bad, wrong)

@@ -127,12 +127,12 @@ def coerce_typed(raw: Column, source: T.DataType, kind: str) -> tuple[Column, Co
     return _from_text(raw.cast("string"), kind)
 
 
-def coerce_variant(raw: Column, kind: str) -> tuple[Column, Column]:
+def coerce_variant(raw: Column, kind: str, shape: Column | None = None) -> tuple[Column, Column]:
     """A Variant in a declared type; Variant casts are too lenient, so its own type decides.
 
     Numbers stay Variants, so whole ones print as such.
     """
-    shape = F.schema_of_variant(raw)
+    shape = F.schema_of_variant(raw) if shape is None else shape
     get = lambda t: F.try_variant_get(raw, "$", t)
     is_object, is_array = shape.startswith("OBJECT"), shape.startswith("ARRAY")
     if kind == "object":
@@ -152,4 +152,5 @@ def coerce_variant(raw: Column, kind: str) -> tuple[Column, Column]:
         return number, number.isNull()
     number = F.when(is_object | is_array | is_boolean, F.lit(None)).when(is_double, get("double").try_cast("decimal(38,9)")).otherwise(_from_text(text, "number")[0])
     out, bad = _whole(number)
-    return out, number.isNull() | bad
+    plain = shape == "BIGINT"  # the usual case needs no detour
+    return F.when(plain, get("bigint")).otherwise(out), ~plain & (number.isNull() | bad)

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from mapweave.errors import ConfigValidationError, MappingError
 from mapweave.functions import exact
 from mapweave.operators.build import Builder, as_variant, types_of
-from mapweave.operators.resolve import DIAGNOSTIC, Variables, diagnostic, resolve_inputs
+from mapweave.operators.resolve import DIAGNOSTIC, Variables, diagnostic, payload_fields, resolve_inputs
 from mapweave.schema import validate as js
 from mapweave.sources import io
 
@@ -215,8 +215,10 @@ class Mapping:
             bad_payload = text.isNotNull() & F.col("__payload").isNull()
         elif payload is not None:
             df = df.withColumn("__payload", F.col(f"`{payload}`"))
+        if payload is not None:
+            df = payload_fields(df, "__payload", list(self.config.variables) if resolve_derive_args else used)
         # 2: variables; random ones are drawn here, below their uses
-        source = Variables(self.config, df, None if payload is None else "__payload", constants, resolve_derive_args)
+        source = Variables(self.config, df, payload is not None, constants, resolve_derive_args)
         names, problems, columns = {}, {}, []
         for k, v in enumerate(used):
             r = source.resolve(v)
