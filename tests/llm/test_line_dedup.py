@@ -88,3 +88,10 @@ def test_null_ids_and_empty_table(docs_of):
     rows = [(None, "the same line here\nmine only stands here x"), (None, "the same line here\nmine only stands here y z"), (5, "the same line here\nb c d")]
     left = sorted(r.text for r in ld.drop_recurring_lines(docs_of(rows)).collect())
     assert left == sorted(["mine only stands here x", "mine only stands here y z", "the same line here\nb c d"])
+
+
+def test_passage_in_two_texts_stays_once(docs_of):
+    passage = " ".join(f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
+    rows = [(1, f"first text with words of its own\n{passage}"), (2, f"another document says this\n{passage}"), (2, f"another document says this\n{passage}")]
+    left = sorted((r.doc_id, r.text) for r in ld.drop_recurring_lines(docs_of(rows)).collect())
+    assert left == [rows[0], (2, "another document says this"), (2, "another document says this")]
