@@ -16,7 +16,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines of recurring templates; n_chars follows the text."""
-    left = line_dedup.drop_recurring_lines(docs)
+    left = line_dedup.drop_recurring_lines(docs, short_docs=line_dedup.SHORT_DOCS)
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

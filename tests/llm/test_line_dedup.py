@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from mapweave.llm import line_dedup as ld
 
 
@@ -95,3 +96,13 @@ def test_passage_in_two_texts_stays_once(docs_of):
     rows = [(1, f"first text with words of its own\n{passage}"), (2, f"another document says this\n{passage}"), (2, f"another document says this\n{passage}")]
     left = sorted((r.doc_id, r.text) for r in ld.drop_recurring_lines(docs_of(rows)).collect())
     assert left == [rows[0], (2, "another document says this"), (2, "another document says this")]
+
+
+def test_short_lines_take_part(spark, docs_of):
+    own = [f"{w} own words of one text" for w in ("alpha", "beta", "gamma", "delta")]
+    rows = [(i, f"{x}\nLes.\n\n And  ornd.\n{'Twice.' if i < 2 else f'once{x[0]}'}\n{i}\nPage {i}") for i, x in enumerate(own)]
+    rows += [(9, "Les."), (10, "\n"), (11, "\n \n"), (12, None), (13, "")]
+    want = [rows[0], (1, f"{own[1]}\n\nTwice.\n1"), (2, f"{own[2]}\n\nonceg\n2"), (3, f"{own[3]}\n\nonced\n3"), *rows[5:]]  # document 9 loses its only line and goes
+    docs = docs_of(rows).withColumn("n_chars", F.length("text").cast("long"))
+    got = corpus_pipeline.line_deduplication(spark, docs, "")
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == want
