@@ -10,9 +10,12 @@ in proportion to its share of them.
 Trust is the personalised PageRank of the trusted seeds along the links,
 distrust that of the blocked seeds against them: who links to bad hosts is
 suspect, whom good hosts link to is not.  Both run as one iteration over
-(kind, host, rank), with STEPS steps of damping DAMPING.  A host is blocked
-where distrust / (trust + distrust) is THRESHOLD or more; a host that neither
-reaches is allowed.
+(kind, host, rank) of damping DAMPING, until no new host is reached and no
+host's rank changes by more than TOLERANCE of itself, so the summed change is
+below TOLERANCE too and far hosts with little rank are settled as well.  A
+host is blocked where distrust / (trust + distrust) is THRESHOLD or more; a
+host that neither reaches is allowed, as is one whose ranks are too small for
+a double.
 
 All is DataFrame code.  Pages are added up by host, and links by pair of
 hosts, before anything is joined, so a host with a third of all pages is one
@@ -38,7 +41,9 @@ RULES = [
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 ]
-DAMPING, STEPS, THRESHOLD = 0.85, 8, 0.5
+DAMPING, TOLERANCE, THRESHOLD = 0.85, 1e-6, 0.5
+#: The steps that ORACLE_SQL writes out; enough where no chain of links is longer.
+STEPS = 8
 
 
 def url_host(url):
@@ -86,12 +91,19 @@ def host_verdicts(pages: DataFrame, rules=RULES, url_column="url", html_column="
     rank = seeds.withColumnRenamed("seed", "rank")
     if not edges.isEmpty():
         jump = seeds.select("kind", "host", ((1 - DAMPING) * F.col("seed")).alias("rank"))
-        for _ in range(STEPS):
-            moved = rank.join(edges, (rank.kind == edges.kind) & (rank.host == edges.a)).select(edges.kind, F.col("b").alias("host"), (DAMPING * F.col("rank") * F.col("share")).alias("rank"))
-            rank = scratch.store(jump.unionByName(moved).groupBy("kind", "host").agg(F.sum("rank").alias("rank")))
+        fresh = F.lit(0.0).alias("was")
+        changed = F.abs(F.col("rank") - F.col("was")) > TOLERANCE * F.col("rank")
+        while True:
+            moved = rank.join(edges, (rank.kind == edges.kind) & (rank.host == edges.a)).select(edges.kind, F.col("b").alias("host"), (DAMPING * F.col("rank") * F.col("share")).alias("rank"), fresh)
+            before = rank.select("kind", "host", F.lit(0.0).alias("rank"), F.col("rank").alias("was"))
+            step = jump.select("*", fresh).unionByName(moved).unionByName(before)
+            step = scratch.store(step.groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("was").alias("was")))
+            rank = step.select("kind", "host", "rank")
+            if step.filter(changed).isEmpty():
+                break
     part = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0.0)).alias(kind)
     hosts = rank.groupBy("host").agg(part("trust"), part("distrust"))
-    return hosts.withColumn("blocked", F.col("distrust") >= THRESHOLD * (F.col("trust") + F.col("distrust")))
+    return hosts.withColumn("blocked", (F.col("distrust") > 0) & (F.col("distrust") >= THRESHOLD * (F.col("trust") + F.col("distrust"))))
 
 
 def judge_pages(pages: DataFrame, rules=RULES, id_column="page_id", url_column="url", html_column="html") -> DataFrame:

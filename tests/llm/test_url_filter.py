@@ -100,3 +100,19 @@ def test_ranks_against_definition(pages):
 
 def test_empty_table(spark):
     assert uf.judge_pages(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_ranks_converge_beyond_eight_links(spark):
+    """A chain of 12 links up to a blocked host, and a ring beside it, against the solution of the linear equations."""
+    names = [f"h{k}.io" for k in range(12)]
+    pages = [(k, f"http://{h}/", link(f"http://{names[k + 1]}/" if k < 11 else "http://bad.org/")) for k, h in enumerate(names)]
+    pages += [(20, "http://bad.org/es/1", ""), (21, "http://good.net/de/1", link("http://r1.io")), (22, "http://r1.io/", link("http://r2.io")), (23, "http://r2.io/", link("http://r1.io", "http://good.net", *[f"http://end{k}.io" for k in range(8)]))]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.host: r for r in uf.host_verdicts(df).collect()}
+    # distrust goes against the chain, undivided: 0.15 * 0.85^n at n links
+    for n, h in enumerate(reversed(names), 1):
+        assert got[h].blocked and got[h].distrust == pytest.approx(0.15 * 0.85**n) and got[h].trust == 0
+    # g = 0.15 + 0.85 r2 / 10, r1 = 0.85 (g + r2 / 10), r2 = 0.85 r1
+    r1 = 0.85 * 0.15 / (1 - 0.85**2 / 10 - 0.85**3 / 10)
+    want = {"good.net": 0.15 + 0.85**2 * r1 / 10, "r1.io": r1, "r2.io": 0.85 * r1}
+    assert all(got[h].trust == pytest.approx(t, rel=1e-5) and not got[h].blocked for h, t in want.items())
