@@ -35,12 +35,17 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return mixing.mix(docs)
 
 
+def source_repetition(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix carried out: one row for each repetition, none for documents that it leaves out."""
+    return mixing.repeated(source_mixing(spark, docs, sf_dir))
+
+
 STAGES = [
     ("quality_classifier", quality_classifier),
     ("line_dedup", line_deduplication),
     ("minhash_near_dedup", near_deduplication),
     ("benchmark_decontamination", benchmark_decontamination),
-    ("source_mixing", source_mixing),
+    ("source_mixing", source_repetition),
 ]
 
 #: Trained rules, templates and connected components aren't stated in SQL; tests compare each stage with a brute-force version.

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -88,3 +89,13 @@ def test_run_is_the_stages_in_order(spark, tables):
         docs = stage(spark, docs, folder)
     want = sorted((r.doc_id, r.taken) for r in docs.collect() if r.doc_id is not None)
     assert sorted((r.doc_id, r.taken) for r in cp.run(spark, folder).collect() if r.doc_id is not None) == want
+
+
+def test_last_stage_carries_the_mix_out(spark):
+    """300 words in three sources of ten documents of 10 words: targets 200 (its cap), 166.7 and 83.3."""
+    docs = [(100 * k + i, "w " * 10, s) for k, s in enumerate("abc") for i in range(10)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    got = Counter(r.doc_id for r in cp.STAGES[-1][1](spark, df, "").collect())
+    times = lambda k: sorted(got[100 * k + i] for i in range(10))
+    assert times(0) == [2] * 10 and times(1) == [1] * 3 + [2] * 7 and times(2) == [0] * 2 + [1] * 8
+    assert got == Counter({r.doc_id: r.repetitions for r in cp.source_mixing(spark, df, "").collect() if r.repetitions})
