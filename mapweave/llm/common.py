@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
 import uuid
 
@@ -16,9 +19,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset (as in tests), one temporary folder of this process."""
+    """spark.checkpoint.dir of the session; where it is unset, one temporary folder of this process, in local mode alone."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if "dir" not in _own:
             _own["dir"] = tempfile.mkdtemp(prefix="scratch-")
         found = _own["dir"]
@@ -26,10 +31,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Written tables of one run.  They cut lineage and outlive the loss of executors."""
+    """Written tables of one run.  They cut lineage and outlive the loss of executors.
+
+    They go when `clear` is called, or with the process: what reads them is lazy.
+    """
+
+    open: list[Scratch] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        Scratch.open.append(self)
 
     def store(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -37,6 +48,38 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def store_bucketed(self, df: DataFrame, column: str, n: int) -> DataFrame:
+        """As store; joins and groups by the column read the table without an exchange."""
+        self.n += 1
+        name = f"scratch_{uuid.uuid4().hex}"
+        df.write.bucketBy(n, column).option("path", f"{self.root}/{self.n}").saveAsTable(name)
+        try:
+            return self.spark.table(name)
+        finally:
+            self.spark.sql(f"DROP TABLE {name}")  # the name alone: the files are outside the catalog
+
+    def clear(self) -> None:
+        """Delete the tables; nothing may read them any more."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        if self in Scratch.open:
+            Scratch.open.remove(self)
+
+    @classmethod
+    def clear_since(cls, n: int) -> None:
+        """Delete the tables of all runs begun since n were open."""
+        for one in cls.open[n:]:
+            one.clear()
+
+
+@atexit.register
+def _clear_all() -> None:
+    for one in list(Scratch.open):
+        with contextlib.suppress(Exception):  # the session may be gone
+            one.clear()
+    if "dir" in _own:
+        shutil.rmtree(_own["dir"], ignore_errors=True)
+
 
 def fold(text):
     """Lower-case A-Z alone."""
