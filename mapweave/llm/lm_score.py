@@ -56,7 +56,7 @@ from . import textkernel as K
 from .common import Scratch, crc_mod
 
 #: Bytes of text in a block, at most (or one document); tokens of the input for each range of a kind.
-BLOCK_BYTES, RANGE_TOKENS = 10 << 20, 2_500_000
+BLOCK_BYTES, RANGE_TOKENS = 6 << 20, 2_500_000
 #: Tokens of a document that one lane walks.
 LANE = 256
 START, END = np.uint64(K.mix_int(0x73746172740001)), np.uint64(K.mix_int(0x656E6400000002))
@@ -96,6 +96,28 @@ def unpack_sorted(blob: bytes, n: int) -> np.ndarray:
     return np.cumsum(unpack(blob, n, np.uint64), dtype=np.uint64)
 
 
+def sort_hashes(keys: np.ndarray) -> np.ndarray:
+    """The stable order of hashes: upper bits and place are sorted as one number; where upper bits don't tell, all bits are."""
+    bits = np.uint64(max(1, len(keys)).bit_length())
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    packed = np.sort((keys & ~low) | np.arange(len(keys), dtype=np.uint64))
+    order = (packed & low).astype(np.int64)
+    upper, found = packed >> bits, keys[order]
+    alike = (upper[1:] == upper[:-1]) & (found[1:] != found[:-1])
+    return np.argsort(keys, kind="stable") if alike.any() else order
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes, and the number of each."""
+    order = sort_hashes(keys)
+    found = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = found[1:] != found[:-1]
+    number = np.empty(len(keys), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return found[new], number
+
+
 def _batch(schema: str, columns: list) -> pa.RecordBatch:
     kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<boolean>": pa.list_(pa.bool_()), "array<int>": pa.list_(pa.int32())}
     fields = [f.split() for f in schema.split(", ")]
@@ -110,7 +132,7 @@ def _pack_documents(batches):
             # each document: the start symbol, its words, the end token
             hashes = np.insert(w.hashes, np.repeat(w.first[1:], 2) if len(n) else [], np.tile([END, START], len(n)))
             hashes = np.concatenate([[START], hashes[:-1]]).astype(np.uint64)
-            known, number = np.unique(hashes, return_inverse=True)
+            known, number = distinct(hashes)
             yield _batch(_STATE, [[len(hashes)], [part.column("id").to_pylist()], [part.column("held_out").to_pylist()], [(n + 2).tolist()], [pack(number.astype(np.uint32))], [len(known)], [pack_sorted(known)]])
 
 
@@ -151,7 +173,7 @@ class Block:
             key = np.concatenate([np.zeros(1, np.uint64), key[:-1]])
             key = K.mix(key * np.uint64(0x9E3779B97F4A7C15) + mine + np.uint64(k))
             there = np.flatnonzero(place >= k - 1)
-            keys, number = np.unique(key[there], return_inverse=True)
+            keys, number = distinct(key[there])
             below = self.levels[-1].at
             prefix, suffix, last = (np.empty(len(keys), np.int64) for _ in range(3))
             prefix[number], suffix[number], last[number] = below[there - 1], below[there], self.number[there]
@@ -251,7 +273,7 @@ def _add_up(rows: list[dict]) -> pa.RecordBatch:
     n = np.array([r["n"] for r in rows])
     keys = np.concatenate([unpack_sorted(r["keys"], r["n"]) for r in rows])
     counts, others = (np.concatenate([unpack(r[c], r["n"], np.uint32) if r[c] else np.zeros(r["n"], np.uint32) for r in rows]).astype(np.uint64) for c in ("counts", "others"))
-    order = np.argsort(keys, kind="stable")
+    order = sort_hashes(keys)
     keys, counts, others = keys[order], counts[order], others[order]
     new = np.ones(len(keys), bool)
     new[1:] = keys[1:] != keys[:-1]
@@ -328,6 +350,7 @@ class Automaton:
         key = np.concatenate(keys)
         by = np.argsort(key)
         self.keys, self.weights, self.targets = key[by], np.concatenate(weights)[by], np.concatenate(targets)[by]
+        self.arcs = np.searchsorted(self.keys, np.arange(n_states + 1) * self.n_words)
         self.begin = int(self.root_to[block.start]) if order > 1 and len(block.ids) else 0
         self.memory = order - 1
 
@@ -343,8 +366,12 @@ class Automaton:
             left = left[~at_root]
             if not len(left):
                 break
-            wanted = state[left] * self.n_words + word[left]
-            arc = np.minimum(np.searchsorted(self.keys, wanted), max(0, len(self.keys) - 1))
+            at = state[left]
+            wanted = at * self.n_words + word[left]
+            arc = self.arcs[at]
+            several = np.flatnonzero(self.arcs[at + 1] - arc > 1)
+            arc[several] = np.searchsorted(self.keys, wanted[several])
+            arc = np.minimum(arc, max(0, len(self.keys) - 1))
             hit = self.keys[arc] == wanted if len(self.keys) else np.zeros(len(left), bool)
             done, arc = left[hit], arc[hit]
             weight[done] += self.weights[arc]
