@@ -7,9 +7,11 @@ role, text); `canonical_table` selects and applies it, and raises ValueError
 for a layout it doesn't know.
 
 JSON records, each in a layout of its own: `fingerprint` hashes the field paths
-of each record (types and order left out), `LAYOUTS` declares the mappings and
-`canonical_turns` selects one for each record.  Records of an unknown layout
-get null turns, so that nothing is guessed.
+of each record, again as far as any declared layout knows them (types, order
+and further fields left out), `LAYOUTS` declares the mappings and
+`canonical_turns` selects one for each record.  A record with an empty list has
+no turns and gives no row.  Records of an unknown layout give one row with null
+turn, role and text, so that nothing is guessed.
 
 `format_turns` writes a conversation's turns in a ChatML-like template
 
@@ -19,7 +21,8 @@ Inside roles and texts the first character of every control string of common
 templates, and every backslash, is replaced by a backslash and a letter, so no
 text can hold a marker and `parse` gives back exactly what went in.  The
 result is cut in segments, each in or out of the loss: exactly the assistant
-texts are in.
+texts are in.  `loss_spans` gives the loss mask as places in the formatted
+text, and `masked_text` reads what stands under a mask back from there.
 
 Everything is a Spark expression.  Turns are escaped row by row before they
 are grouped.  Groups are joined in two steps, by runs of RUN turns and then by
@@ -27,8 +30,10 @@ conversation, so that a conversation with a third of all rows is put together
 by many tasks; the last step holds one formatted conversation per row.
 
 Null text counts as empty, a null role as an empty one; a null turn number
-comes last.  Turns with one number are ordered by role and text.  Rows
-without conversation id are one conversation.
+comes last.  Turns with one number are ordered by role and text.  Repeated rows
+are turns of their own.  Rows without conversation id can't be told to belong
+together: each is a conversation of one turn.  An empty table gives no rows.
+Texts of any length stay whole.  Further columns and their names don't matter.
 """
 
 from __future__ import annotations
@@ -40,7 +45,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-RUN = 64
+RUN, PIECE = 64, 192
 START, END = "<|im_start|>", "<|im_end|>\n"
 #: Control strings of common templates: fixed values.
 CONTROL = [
@@ -85,9 +90,10 @@ def format_turns(turns: DataFrame, id_column="conv_id", turn_column="turn", role
     """(id, segments) per conversation; segments: array of (text, loss), whose texts joined are the formatted conversation."""
     role, text = F.coalesce(F.col(role_column), F.lit("")), F.coalesce(F.col(text_column), F.lit(""))
     turn = F.col(turn_column).cast("long")
-    rows = turns.select(F.col(id_column).alias("id"), turn.alias("turn"), role.alias("role"), text.alias("text"))
-    rows = rows.select("id", F.col("turn").isNull().alias("late"), F.floor(F.col("turn") / RUN).alias("run"), F.struct("turn", "role", F.col("text").alias("raw"), escape(F.col("text")).alias("text")).alias("t"))
-    runs = rows.groupBy("id", "late", "run").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    own = F.when(F.col(id_column).isNull(), F.monotonically_increasing_id())
+    rows = turns.select(F.col(id_column).alias("id"), own.alias("own"), turn.alias("turn"), role.alias("role"), text.alias("text"))
+    rows = rows.select("id", "own", F.col("turn").isNull().alias("late"), F.floor(F.col("turn") / RUN).alias("run"), F.struct("turn", "role", F.col("text").alias("raw"), escape(F.col("text")).alias("text")).alias("t"))
+    runs = rows.groupBy("id", "own", "late", "run").agg(F.sort_array(F.collect_list("t")).alias("turns"))
 
     def pieces(t):
         head = F.concat(F.lit(START), escape(t["role"], True), F.lit("\n"))
@@ -97,8 +103,8 @@ def format_turns(turns: DataFrame, id_column="conv_id", turn_column="turn", role
             F.struct(F.lit(END).alias("text"), F.lit(False).alias("loss")),
         )
 
-    parts = runs.select("id", "late", "run", F.flatten(F.transform("turns", pieces)).alias("segments"))
-    whole = parts.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("late", "run", "segments"))).alias("runs"))
+    parts = runs.select("id", "own", "late", "run", F.flatten(F.transform("turns", pieces)).alias("segments"))
+    whole = parts.groupBy("id", "own").agg(F.sort_array(F.collect_list(F.struct("late", "run", "segments"))).alias("runs"))
     return whole.select("id", F.flatten(F.col("runs.segments")).alias("segments"))
 
 
@@ -119,26 +125,68 @@ def parse(text: Column) -> Column:
     return F.transform(turns, one)
 
 
-def loss_text(segments: Column) -> Column:
-    """All text under the loss mask, unescaped, nothing between."""
-    return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
+def _bound_to(value: Column, body) -> Column:
+    """body(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
 def loss_spans(segments: Column) -> Column:
-    """The loss mask as array of (start, end) in code points of the formatted text."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
+    """The loss mask as array of (start, end) in code points of the formatted text.
+
+    Spans are first found inside pieces of PIECE segments and then moved by
+    the lengths of the pieces before, as an array that grows by one costs its length.
+    """
+    spans = "array<struct<start:int,end:int>>"
+    none = F.struct(F.lit(0).alias("at"), F.array().cast(spans).alias("spans"))
 
     def step(acc, s):
         end = acc["at"] + F.length(s["text"])
         span = F.struct(acc["at"].alias("start"), end.alias("end"))
         return F.struct(end.alias("at"), F.when(s["loss"], F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
-    return F.aggregate(segments, zero, step, lambda acc: acc["spans"])
+    def moved(pieces):
+        offsets = F.aggregate(pieces, F.array(F.lit(0)), lambda acc, p: F.array_append(acc, F.element_at(acc, -1) + p["at"]))
+        shift = lambda off: lambda p, k: F.transform(p["spans"], lambda x: F.struct((x["start"] + F.get(off, k)).alias("start"), (x["end"] + F.get(off, k)).alias("end")))
+        return _bound_to(offsets, lambda off: F.flatten(F.transform(pieces, shift(off))))
+
+    firsts = F.sequence(F.lit(0), F.greatest(F.size(segments) - 1, F.lit(0)), F.lit(PIECE))
+    pieces = F.transform(firsts, lambda k: F.aggregate(F.slice(segments, k + 1, F.lit(PIECE)), none, step))
+    return _bound_to(pieces, moved)
+
+
+def masked_text(whole: Column, spans: Column) -> Column:
+    """What stands in a formatted text under a mask, unescaped, nothing between.
+
+    Read from four bytes a code point, so that a place is found without counting up to it.
+    """
+    part = lambda wide: lambda x: F.decode(F.substring(wide, x["start"] * 4 + 1, (x["end"] - x["start"]) * 4), "UTF-32")
+    return _bound_to(F.encode(whole, "UTF-32"), lambda wide: F.array_join(F.transform(spans, lambda x: unescape(part(wide)(x))), ""))
+
+
+def _hash_paths(paths) -> str:
+    return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()
 
 
 def field_paths(record: Column) -> Column:
-    """The nested field paths of a JSON text, as one canonical text; null where it isn't JSON."""
-    return F.regexp_replace(F.schema_of_variant(F.try_parse_json(record)), r": (?!OBJECT|ARRAY)[A-Z]+(?:\([0-9,]+\))?", "")
+    """The field paths of a JSON text that some layout knows, in the order of KNOWN; null where it isn't a JSON object."""
+    value = F.try_parse_json(record)
+    has_key = lambda field: lambda m: F.map_contains_key(m, field)
+
+    def paths(v):
+        has = []
+        for path in KNOWN:
+            name, _, field = path.partition("[].")
+            if path.endswith("[]"):
+                found = F.schema_of_variant(F.try_variant_get(v, f"$.{path[:-2]}", "variant")).startswith("ARRAY")
+            elif field:
+                rows = F.from_json(F.get_json_object(record, f"$.{name}"), "array<map<string,string>>")
+                found = F.exists(rows, has_key(field))
+            else:
+                found = F.try_variant_get(v, f"$.{path}", "variant").isNotNull()
+            has.append(F.when(F.coalesce(found, F.lit(False)), F.lit(path)))
+        return F.when(F.schema_of_variant(v).startswith("OBJECT"), F.array_join(F.array_compact(F.array(*has)), "\n"))
+
+    return _bound_to(value, paths)
 
 
 def fingerprint(record: Column) -> Column:
@@ -153,20 +201,37 @@ def _list(path, roles, texts, names=()):
     return ("list", path, roles, texts, dict(names))
 
 
-#: Example record of a layout -> its turns in order: fixed values.
+_SYSTEM = _turn("system", "$.system")
+_SHARED = _list("$.conversations", "from", "value", [("human", "user"), ("gpt", "assistant")])
+#: Field paths of a layout -> its turns in order: fixed values.
 LAYOUTS = [
-    ('{"prompt": "", "completion": ""}', [_turn("user", "$.prompt"), _turn("assistant", "$.completion")]),
-    ('{"prompt": "", "response": ""}', [_turn("user", "$.prompt"), _turn("assistant", "$.response")]),
-    ('{"question": "", "answer": ""}', [_turn("user", "$.question"), _turn("assistant", "$.answer")]),
-    ('{"instruction": "", "output": ""}', [_turn("user", "$.instruction"), _turn("assistant", "$.output")]),
-    ('{"instruction": "", "input": "", "output": ""}', [_turn("user", ("$.instruction", "$.input")), _turn("assistant", "$.output")]),
-    ('{"system": "", "instruction": "", "output": ""}', [_turn("system", "$.system"), _turn("user", "$.instruction"), _turn("assistant", "$.output")]),
-    ('{"system": "", "prompt": "", "response": ""}', [_turn("system", "$.system"), _turn("user", "$.prompt"), _turn("assistant", "$.response")]),
-    ('{"messages": [{"role": "", "content": ""}]}', [_list("$.messages", "role", "content")]),
-    ('{"conversations": [{"from": "", "value": ""}]}', [_list("$.conversations", "from", "value", [("human", "user"), ("gpt", "assistant")])]),
-    ('{"system": "", "conversations": [{"from": "", "value": ""}]}', [_turn("system", "$.system"), _list("$.conversations", "from", "value", [("human", "user"), ("gpt", "assistant")])]),
-    ('{"dialog": [{"role": "", "text": ""}]}', [_list("$.dialog", "role", "text")]),
+    (("prompt", "completion"), [_turn("user", "$.prompt"), _turn("assistant", "$.completion")]),
+    (("prompt", "response"), [_turn("user", "$.prompt"), _turn("assistant", "$.response")]),
+    (("question", "answer"), [_turn("user", "$.question"), _turn("assistant", "$.answer")]),
+    (("instruction", "output"), [_turn("user", "$.instruction"), _turn("assistant", "$.output")]),
+    (("instruction", "input", "output"), [_turn("user", ("$.instruction", "$.input")), _turn("assistant", "$.output")]),
+    (("system", "instruction", "output"), [_SYSTEM, _turn("user", "$.instruction"), _turn("assistant", "$.output")]),
+    (("system", "instruction", "input", "output"), [_SYSTEM, _turn("user", ("$.instruction", "$.input")), _turn("assistant", "$.output")]),
+    (("system", "prompt", "response"), [_SYSTEM, _turn("user", "$.prompt"), _turn("assistant", "$.response")]),
+    (("system", "prompt", "completion"), [_SYSTEM, _turn("user", "$.prompt"), _turn("assistant", "$.completion")]),
+    (("messages[]", "messages[].role", "messages[].content"), [_list("$.messages", "role", "content")]),
+    (("system", "messages[]", "messages[].role", "messages[].content"), [_SYSTEM, _list("$.messages", "role", "content")]),
+    (("conversations[]", "conversations[].from", "conversations[].value"), [_SHARED]),
+    (("system", "conversations[]", "conversations[].from", "conversations[].value"), [_SYSTEM, _SHARED]),
+    (("dialog[]", "dialog[].role", "dialog[].text"), [_list("$.dialog", "role", "text")]),
 ]
+#: Every path that a layout knows, a list ahead of its fields.
+KNOWN = sorted({p for paths, _ in LAYOUTS for p in paths})
+
+
+def _record_marks() -> dict[str, list]:
+    """Turns by fingerprint; a layout's list may be empty, and then its fields aren't seen."""
+    marks = {}
+    for paths, parts in LAYOUTS:
+        marks[_hash_paths(paths)] = parts
+        if any(p.endswith("[]") for p in paths):
+            marks.setdefault(_hash_paths([p for p in paths if "[]." not in p]), parts)
+    return marks
 
 
 def _turns_in(record: Column, path: str, role: str, text: str, names: dict) -> Column:
@@ -194,12 +259,11 @@ def _turns_of(record: Column, parts) -> Column:
 
 def canonical_turns(records: DataFrame, record_column: str, id_column: str = "conv_id") -> DataFrame:
     """(conv_id, turn, role, text) of JSON records in any declared layout; one row with a null turn for an unknown one."""
-    spark = records.sparkSession
-    examples = spark.range(1).select(*[fingerprint(F.lit(e)).alias(f"x{k}") for k, (e, _) in enumerate(LAYOUTS)]).first()
     record, turns = F.col(record_column), F.lit(None).cast("array<struct<role:string,text:string>>")
-    for mark, (_, parts) in zip(examples, LAYOUTS, strict=True):
+    for mark, parts in _record_marks().items():
         turns = F.when(F.col("__mark") == mark, _turns_of(record, parts)).otherwise(turns)
-    found = records.withColumn("__mark", fingerprint(record)).select(F.col(id_column).alias("conv_id"), turns.alias("turns"))
+    found = records.select(F.col(id_column).alias("conv_id"), record.alias(record_column), fingerprint(record).alias("__mark")).select("conv_id", turns.alias("turns"))
+    found = found.filter("turns is null or size(turns) > 0")
     return found.select("conv_id", F.posexplode_outer("turns").alias("turn", "t")).select("conv_id", F.col("turn").cast("long").alias("turn"), "t.role", "t.text")
 
 
@@ -225,10 +289,6 @@ def schema_paths(kind: T.DataType, path: str = "") -> list[str]:
     return schema_paths(kind.elementType, f"{path}[]") if isinstance(kind, T.ArrayType) else [path]
 
 
-def _hash_paths(paths) -> str:
-    return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()
-
-
 def table_fingerprint(schema: T.StructType) -> str:
     known = {p for paths, _ in TABLES for p in paths}
     return _hash_paths(known.intersection(schema_paths(schema)))
@@ -255,8 +315,9 @@ def canonical_table(df: DataFrame) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     hostile = spark.sql("SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)")
     turns = canonical_table(spark.read.parquet(f"{sf_dir}/conversations.parquet")).unionByName(canonical_table(hostile))
-    out = format_turns(turns).select("id", "segments", formatted(F.col("segments")).alias("whole"))
-    read = out.select("id", "segments", F.length("whole").cast("long").alias("formatted_chars"), parse(F.col("whole")).alias("turns"), loss_text(F.col("segments")).alias("loss"))
+    out = format_turns(turns).select("id", formatted(F.col("segments")).alias("whole"), loss_spans(F.col("segments")).alias("mask"))
+    # from here on all is read from the formatted text and its mask
+    read = out.select("id", F.length("whole").cast("long").alias("formatted_chars"), parse(F.col("whole")).alias("turns"), masked_text(F.col("whole"), F.col("mask")).alias("loss"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         F.col("id").alias("conv_id"),
@@ -278,11 +339,11 @@ for _first, _code in (("<", "l"), ("[", "k")):
         if _c[0] == _first:
             _SQL_ESCAPED = f"replace({_SQL_ESCAPED}, '{_c}', chr(92) || '{_code}{_c[1:]}')"
 ORACLE_SQL = f"""
-WITH t AS ({_SQL_TURNS})
+WITH t AS (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS own FROM ({_SQL_TURNS}))
 SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum({len(START) + len(END) + 1} + length(role) + length({_SQL_ESCAPED})) AS BIGINT) AS formatted_chars
-FROM t GROUP BY conv_id
+FROM t GROUP BY conv_id, own
 """
