@@ -59,6 +59,7 @@ def seeds(n: int, salt: int) -> np.ndarray:
 
 
 _SHINGLE_SEEDS = seeds(SHINGLE, 17)
+_FEW = np.uint64(0xA24BAED4963EE407)
 
 
 @dataclass
@@ -141,11 +142,24 @@ def shingles(w: Words) -> tuple[np.ndarray, np.ndarray]:
         for k in range(SHINGLE - 1):
             has = n[few] > k
             short[has] += h[w.first[few[has]] + k] * _SHINGLE_SEEDS[k]
-        short = mix(short + n[few].astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+        short = mix(short + n[few].astype(np.uint64) * _FEW)
         rows, out = np.concatenate([rows, few]), np.concatenate([out, short])
     return rows, out
 
 
+def runs(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of every run of n words, n below five; the hash is that of a whole text of these words."""
+    m = len(w.hashes) - n + 1
+    if m <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    row = w.row_of()
+    run = np.zeros(m, np.uint64)
+    for k in range(n):
+        run += w.hashes[k : k + m] * _SHINGLE_SEEDS[k]
+    whole = row[:m] == row[n - 1 :]
+    return row[:m][whole], mix(run[whole] + np.uint64(n) * _FEW)
+
+
 def shingle_sets(w: Words) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (row, hash), by row and then hash; and where each row's set begins."""
     rows, h = shingles(w)
