@@ -26,7 +26,9 @@ def make(n, seed=1):
     return [(i, " ".join("w" for _ in range(rnd.choice([0, 1, 7, 40, 300]))) + rnd.choice(["", " \n", "\t"]), rnd.choice(sources)) for i in range(n)]
 
 
-def test_targets_and_words_taken(spark):
+@pytest.mark.parametrize("most", [mixing.MAX_SOURCES, 2])
+def test_targets_and_words_taken(spark, monkeypatch, most):
+    monkeypatch.setattr(mixing, "MAX_SOURCES", most)
     rows = make(3000) + [(None, "x y", "a"), (-1, None, "b"), (-2, "", None), (5000, "z " * 9, "only")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", F.lit("clash")).withColumn("path", F.lit(0)).repartition(4)
     got = mixing.mix(docs).collect()
@@ -61,12 +63,19 @@ def test_targets_and_words_taken(spark):
     assert mixing.repeated(mixing.mix(docs)).count() == sum(r.repetitions for r in got)
 
 
-def test_empty_table_repeated_rows_and_source_bound(spark, monkeypatch):
+def test_empty_table_and_repeated_rows(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix(docs).collect() == []
     docs = spark.createDataFrame([(1, "a b c", "s")] * 50 + [(2, "d", "t")], "doc_id long, text string, source string")
     rows = mixing.mix(docs).collect()
     assert len(rows) == 51 and len({r.taken for r in rows if r.doc_id == 1}) == 1
-    monkeypatch.setattr(mixing, "MAX_SOURCES", 1)
-    with pytest.raises(ValueError):
-        mixing.plan(docs)
+
+
+def test_many_sources_give_the_same_mix_by_either_way(spark, monkeypatch):
+    rnd = random.Random(4)
+    rows = [(i, "w " * rnd.choice([1, 5, 60]), f"s{rnd.randrange(400)}" if rnd.random() < 0.7 else "hot") for i in range(3000)] + [(-1, "v " * 900000, "long"), (-2, None, "none")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    result = lambda: sorted((r.doc_id, r.source_size, round(r.target, 6), r.taken) for r in mixing.mix(docs).collect())
+    small = result()
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 10)
+    assert result() == small and len(small) == len(rows)
