@@ -17,13 +17,24 @@ host is blocked where distrust / (trust + distrust) is THRESHOLD or more; a
 host that neither reaches is allowed, as is one whose ranks are too small for
 a double.
 
+Trust and distrust are shares: the trusted seeds hold 1 together, and so do the
+blocked ones, whatever their numbers.  On a host with seeds of both kinds the
+comparison is thus between its share of all allowed and of all blocked pages,
+not between its own counts.
+
 All is DataFrame code.  Pages are added up by host, and links by pair of
 hosts, before anything is joined, so a host with a third of all pages is one
 row.  Each step is written, so the lineage stays short; nothing about hosts is
-collected or broadcast by hint.
+collected or broadcast by hint.  At the end pages that no rule fits meet the
+blocked hosts in a plain join, which adaptive execution splits where one host
+holds many of them.
 
 Null urls or urls without "://" have an empty host and path, which no rule
-fits; they are allowed.  Null HTML has no links.  Repeated pages count each.
+fits; they are allowed.  Null HTML has no links, as an empty one.  Urls and
+HTML of any length are read whole.  Repeated pages count each.  Of rules of
+equal length that fit, the one declared last wins.  An empty table gives no
+rows.  Only id, url and HTML are read, so other columns and their names don't
+matter; a null id stays null.
 """
 
 from __future__ import annotations
@@ -109,9 +120,9 @@ def host_verdicts(pages: DataFrame, rules=RULES, url_column="url", html_column="
 def judge_pages(pages: DataFrame, rules=RULES, id_column="page_id", url_column="url", html_column="html") -> DataFrame:
     """(id, host, path, rule, verdict) of each page."""
     scratch = Scratch(pages.sparkSession, "url-filter")
-    hosts = scratch.store(host_verdicts(pages, rules, url_column, html_column, scratch).select(F.col("host").alias("of_host"), "blocked"))
+    hosts = scratch.store(host_verdicts(pages, rules, url_column, html_column, scratch).filter("blocked").select(F.col("host").alias("of_host"), "blocked"))
     seen = pages.select(F.col(id_column).alias("id"), url_host(F.col(url_column)).alias("host"), url_path(F.col(url_column)).alias("path"))
-    judged = seen.withColumn("found", rule_for(F.col("host"), F.col("path"), rules)).join(hosts, F.col("host") == F.col("of_host"), "left")
+    judged = seen.withColumn("found", rule_for(F.col("host"), F.col("path"), rules)).join(hosts, (F.col("host") == F.col("of_host")) & F.col("found").isNull(), "left")
     verdict = F.coalesce(F.col("found.verdict"), F.when(F.col("blocked"), "block").otherwise("allow"))
     return judged.select("id", "host", "path", F.col("found.rule").alias("rule"), verdict.alias("verdict"))
 

@@ -98,6 +98,21 @@ def test_ranks_against_definition(pages):
         assert r.trust == pytest.approx(trust.get(r.host, 0)) and r.distrust == pytest.approx(distrust.get(r.host, 0)), r
 
 
+def test_long_texts_ties_and_shares(spark):
+    long = "x" * 300_000
+    rows = [(1, f"http://long.io/{long}", link("http://end.io/") + f"<p>{long}" * 5), (2, f"http://{long}.io/a", None), (3, "http://b.org/es/1", ""), (4, "http://long.io/", link("http://b.org"))]
+    got = {r.id: r for r in uf.judge_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1].path == "/" + long and got[2].host == long + ".io" and got[1].verdict == "block" and got[2].verdict == "allow"
+    tied = [("block", "io", "/ab"), ("allow", "a.io", "/"), ("block", "a.io", "/a")]
+    pages = spark.createDataFrame([(1, "http://a.io/ab", ""), (2, "http://a.io/c", "")], "page_id long, url string, html string")
+    assert {r.id: (r.rule, r.verdict) for r in uf.judge_pages(pages, [tied[0], ("allow", "a.io", "/"), tied[2]]).collect()} == {1: ("a.io/a", "block"), 2: ("a.io/", "allow")}
+    assert {r.id: r.rule for r in uf.judge_pages(pages, [("block", "a.io", "/a"), ("allow", "a.io", "/a")]).collect()} == {1: "a.io/a", 2: None}
+    # one allowed page of four in all and one blocked of one: the host's share of the blocked is the larger
+    mixed = [(k, f"http://h{k % 4}.net/de/", "") for k in range(4)] + [(9, "http://h0.net/de/8x", ""), (10, "http://h0.net/other", "")]
+    rules = [("allow", "net", "/de/"), ("block", "net", "/de/8")]
+    assert {r.id: r.verdict for r in uf.judge_pages(spark.createDataFrame(mixed, "page_id long, url string, html string"), rules).collect()}[10] == "block"
+
+
 def test_empty_table(spark):
     assert uf.judge_pages(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
