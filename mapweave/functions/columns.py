@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from . import exact
+from . import exact, numbers
 from .exact import BuiltinError
 
+ARITHMETIC = ("add", "subtract", "multiply", "divide", "min", "max", "abs")
 _CONTROL = "[\\x00-\\x20]+"
 
 
@@ -57,16 +60,22 @@ def _or_empty(x: Any) -> Column:
     return F.coalesce(_text(x), F.lit("")) if x is not None else F.lit("")
 
 
-def _number(x: Any) -> Column:
-    """Numbers as decimals wide enough for money and counts; null where it isn't one."""
+def _length_arg(x: Any, kind: T.DataType | None) -> tuple[Column, Column]:
+    """(length, failed): numbers are cut, texts must be whole."""
     if not isinstance(x, Column):
-        return F.lit(exact.number_of(x)).cast("decimal(38,9)")
+        return F.lit(exact.whole_of(x)), F.lit(False)
     text = x.cast("string")
-    return F.when(text.rlike(rf"\A(?:{exact.NUMERIC.pattern})\z"), text.try_cast("decimal(38,9)"))
+    if isinstance(kind, (T.StringType, T.VariantType)):
+        n = F.when(text.rlike(r"\A[+-]?[0-9]+\z"), text.try_cast("int"))
+        if isinstance(kind, T.VariantType):
+            n = F.when(F.schema_of_variant(x).startswith("STRING"), n).otherwise(F.try_variant_get(x, "$", "int"))
+    else:
+        n = x.try_cast("int")
+    return n, n.isNull()
 
 
-def of_columns(name: str, args: list) -> tuple[Column, Column | None]:
-    """(value, failed) of a builtin of CONSTANT with columns among its arguments."""
+def of_columns(name: str, args: list, kinds: list[T.DataType | None]) -> tuple[Column, Column | None]:
+    """(value, failed) of a builtin of CONSTANT with columns among its arguments; kinds: the types of those."""
     none = None
     if name in ("uppercase", "lowercase", "trim"):
         exact.need(args, 1, name)
@@ -75,10 +84,17 @@ def of_columns(name: str, args: list) -> tuple[Column, Column | None]:
     if name == "concat":
         return F.concat_ws("", *[_text(a) for a in args if a is not None]), none
     if name in ("pad_left", "pad_right"):
-        _, n, fill = exact.pad_args(["", *args[1:]], name)
+        exact.need(args, 2, name)
         text = F.coalesce(_text(args[0]), F.lit("null"))
-        padded = (F.lpad if name == "pad_left" else F.rpad)(text, n, fill)
-        return F.when(F.length(text) >= n, text).otherwise(padded), none
+        n, failed = _length_arg(args[1], kinds[1])
+        fill = args[2] if len(args) > 2 and args[2] is not None else " "
+        if isinstance(fill, Column):
+            fill = F.coalesce(fill.cast("string"), F.lit(" "))
+            failed = failed | (fill == "")
+        else:
+            fill = F.lit(exact.pad_args(["", 0, fill], name)[2])
+        padded = (F.lpad if name == "pad_left" else F.rpad)(text, n, F.substring(fill, 1, 1))
+        return F.when(F.length(text) >= n, text).otherwise(padded), failed
     if name == "lookup":
         exact.need(args, 1, name)
         table = args[1] if len(args) > 1 else {}
@@ -89,23 +105,12 @@ def of_columns(name: str, args: list) -> tuple[Column, Column | None]:
             return default, none
         pairs = F.create_map(*[F.lit(x) for k, v in table.items() for x in (k, None if v is None else exact.text_of(v))])
         return F.coalesce(F.element_at(pairs, _text(args[0])), default), none
-    numbers = [_number(a) for a in args]
     exact.need(args, 2 if name in ("add", "subtract", "multiply", "divide") else 1, name)
-    failed = F.lit(False)
-    for x in numbers[: 1 if name == "abs" else None]:
-        failed = failed | x.isNull()
-    if name in ("add", "subtract", "multiply", "divide"):
-        value = numbers[0]
-        for x in numbers[1:]:
-            if name == "divide":
-                part = F.try_divide(value.cast("decimal(38,9)"), x).cast("decimal(38,12)")
-                failed = failed | part.isNull() | (part * x != value)
-                value = part
-            else:
-                value = {"add": F.try_add, "subtract": F.try_subtract, "multiply": F.try_multiply}[name](value, x)
-        failed = failed | value.isNull()
-    elif name in ("min", "max"):
-        value = numbers[0] if len(numbers) == 1 else (F.least if name == "min" else F.greatest)(*numbers)
-    else:
-        value = F.abs(numbers[0])
-    return value.cast("double"), failed
+    used = args[: 1 if name == "abs" else None]
+    pairs = list(zip(used, kinds, strict=False))
+    constants = [None if isinstance(a, Column) else format(exact.number_of(a), "f") for a in used]
+    texts = [numbers.text_of(a, k) if isinstance(a, Column) else F.lit(c) for (a, k), c in zip(pairs, constants, strict=True)]
+    small = [numbers.small_whole(a, k) if isinstance(a, Column) else F.lit(float(c) if re.fullmatch("-?[0-9]{1,15}", c) else None).cast("double") for (a, k), c in zip(pairs, constants, strict=True)]
+    quick = numbers.quickly(name, small)
+    value = F.when(quick.isNotNull(), quick).otherwise(numbers.exactly(name, texts))
+    return F.abs(value) if name == "abs" else value, value.isNull()

@@ -13,6 +13,8 @@ from fractions import Fraction
 from typing import Any
 
 NUMERIC = re.compile(r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?")
+#: Numbers have fewer digits than this before and after the point.
+FAR = 2000
 _WIDE = Context(prec=2000, Emax=MAX_EMAX, Emin=MIN_EMIN)
 RANDOM = ("date", "date_utc", "date_now_millis", "pos_int", "pos_int_between", "uuid", "uuid_compact", "uuid_urn")
 CONSTANT = ("uppercase", "lowercase", "trim", "concat", "pad_left", "pad_right", "lookup", "add", "subtract", "multiply", "divide", "min", "max", "abs")
@@ -37,7 +39,10 @@ def number_of(value: Any) -> Decimal:
     if isinstance(value, (int, Decimal, float)) and not isinstance(value, bool):
         return Decimal(str(value)) if isinstance(value, float) else Decimal(value)
     if value is not None and NUMERIC.fullmatch(text_of(value)):
-        return Decimal(text_of(value))
+        number = _WIDE.create_decimal(text_of(value))
+        if abs(number.adjusted()) > FAR:
+            raise BuiltinError(f"a number out of range: {text_of(value)}")
+        return number
     raise BuiltinError(f"not a number: {text_of(value)}")
 
 

@@ -19,6 +19,7 @@ from mapweave.functions import columns, exact
 from mapweave.functions.exact import BuiltinError
 from mapweave.plans.config import PREFIXES, Config, Variable
 
+from .build import types_of
 from .values import coerce_constant, coerce_typed, coerce_variant, literal
 
 DIAGNOSTIC = "struct<code:string,message:string,pointer:string,details:map<string,string>>"
@@ -73,7 +74,7 @@ class Variables:
     """Resolves the variables of one configuration against one DataFrame of payloads (json: laid out by payload_fields)."""
 
     def __init__(self, config: Config, df: DataFrame, json: bool, inputs: dict[str, Any], resolve_derive_args: bool):
-        self.config, self.inputs, self.json, self.bind = config, inputs, json, resolve_derive_args
+        self.config, self.df, self.inputs, self.json, self.bind = config, df, inputs, json, resolve_derive_args
         self.fields = {f.name: f.dataType for f in df.schema.fields}
 
     def raw(self, name: str):
@@ -105,8 +106,8 @@ class Variables:
                     return self._generated(v, value, source)
                 bound = [self._bound(a) for a in args] if self.bind else args
                 if any(isinstance(a, Column) for a in bound):
-                    value, failed = columns.of_columns(function.fn, bound)
-                    out = self._generated(v, value, "double" if failed is not None else "string")
+                    value, failed = columns.of_columns(function.fn, bound, self._kinds(bound))
+                    out = self._generated(v, value, "double" if function.fn in columns.ARITHMETIC else "string")
                     if failed is not None:
                         out.problem = F.when(F.coalesce(failed, F.lit(True)), diagnostic("VARIABLE_DERIVE", f"{function.fn} failed", where)).otherwise(out.problem)
                         out.value = F.when(~F.coalesce(failed, F.lit(True)), out.value)
@@ -129,6 +130,11 @@ class Variables:
         out, bad = coerce_typed(value, {"long": LongType(), "double": DoubleType(), "string": StringType()}[source], v.type)
         return Resolved(out, F.when(bad, diagnostic("VARIABLE_TYPE", f"variable {v.name} isn't of type {v.type}", f"/VARIABLES/{v.name}")))
 
+    def _kinds(self, args: list) -> list:
+        """Types of the columns among arguments, by analysis."""
+        found = iter(types_of(self.df, [a for a in args if isinstance(a, Column)]))
+        return [next(found) if isinstance(a, Column) else None for a in args]
+
     def _bound(self, arg: Any) -> Any:
         """Extension: references in derive arguments stand for their values."""
         if isinstance(arg, str):
@@ -152,7 +158,7 @@ class Variables:
             wrong = diagnostic("VARIABLE_TYPE", f"variable {name} isn't of type {v.type}", where, type=v.type)
             if v.default is not None and v.type in ("object", "array") and not self.json and self.fields[name].typeName() in ("struct", "map", "array"):
                 own = F.to_variant_object(own)  # the default is a Variant
-            if self.json and v.type == "number":
+            if v.type == "number" and (self.json or self.fields[name].typeName() in ("string", "variant")):
                 rest = Resolved(rest.value.cast("variant"), rest.problem)
             value = own if v.default is None and not v.derive else F.when(missing, rest.value).otherwise(own)
             problem = F.when(missing, rest.problem).when(bad, wrong)

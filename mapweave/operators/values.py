@@ -14,10 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mapweave.functions import exact
-
-_NUMERIC = rf"\A(?:{exact.NUMERIC.pattern})\z"
-
+from mapweave.functions import exact, numbers
 
 
 def _floats(value: Any) -> Any:
@@ -71,21 +68,13 @@ def coerce_constant(value: Any, kind: str) -> Any:
     return value
 
 
-def _whole(number: Column) -> tuple[Column, Column]:
-    """Decimal to long, and where it has a fraction or is too large."""
-    out = number.try_cast("long")
-    return out, out.isNull() | (out.cast("decimal(38,9)") != number)
-
-
 def _from_text(text: Column, kind: str) -> tuple[Column, Column]:
+    """Text in a declared scalar type; numbers as Variants of their exact value."""
     if kind == "boolean":
         low = F.lower(text)
         return F.when(low == "true", True).when(low == "false", False), ~low.isin("true", "false")
-    number = F.when(text.rlike(_NUMERIC), text.try_cast("decimal(38,9)"))
-    if kind == "number":
-        return number, number.isNull()
-    out, bad = _whole(number)
-    return out, number.isNull() | bad
+    out = numbers.variant_of(text) if kind == "number" else numbers.long_of(text)
+    return out, out.isNull()
 
 
 def coerce_typed(raw: Column, source: T.DataType, kind: str) -> tuple[Column, Column]:
@@ -148,9 +137,10 @@ def coerce_variant(raw: Column, kind: str, shape: Column | None = None) -> tuple
         return out, out.isNull()
     is_double = shape.startswith("DOUBLE") | shape.startswith("FLOAT")
     if kind == "number":
-        number = F.when(is_text, _from_text(text, "number")[0].cast("variant")).when(~(is_object | is_array | is_boolean), raw)
+        number = F.when(is_text, _from_text(text, "number")[0]).when(~(is_object | is_array | is_boolean), raw)
         return number, number.isNull()
-    number = F.when(is_object | is_array | is_boolean, F.lit(None)).when(is_double, get("double").try_cast("decimal(38,9)")).otherwise(_from_text(text, "number")[0])
-    out, bad = _whole(number)
+    real = get("double")
+    from_double = F.when((F.floor(real) == real) & (F.abs(real) <= float(1 << 63)), real.try_cast("long"))
+    out = F.when(is_object | is_array | is_boolean, F.lit(None).cast("long")).when(is_double, from_double).otherwise(_from_text(text, "integer")[0])
     plain = shape == "BIGINT"  # the usual case needs no detour
-    return F.when(plain, get("bigint")).otherwise(out), ~plain & (number.isNull() | bad)
+    return F.when(plain, get("bigint")).otherwise(out), ~plain & out.isNull()

@@ -69,7 +69,7 @@ class Mapping:
         made = cls(cfg.parse(document, exact.BUILTINS), tuple(schema_roots))
         for f in made.config.functions.values():
             if f.kind == "regex":
-                made._check_pattern(f)
+                made._check_pattern(f.pattern, f"/FUNCTIONS/{f.name}")
         log.info("compiled %s: %s", made.config.meta.get("name"), made.metrics)
         return made
 
@@ -88,16 +88,16 @@ class Mapping:
         return cls.from_bytes(json.dumps(document, default=float), **options)
 
     @staticmethod
-    def _check_pattern(f: cfg.Function) -> None:
+    def _check_pattern(pattern: str, pointer: str) -> None:
         """Patterns are Java's; they are compiled by it where a session runs here."""
         from pyspark import SparkContext
 
         context = SparkContext._active_spark_context
         if context is not None and context._jvm is not None:
             try:
-                context._jvm.java.util.regex.Pattern.compile(f.pattern)
+                context._jvm.java.util.regex.Pattern.compile(pattern)
             except Exception as e:
-                raise MappingError("CONFIG_ERROR", f"bad pattern: {f.pattern}", f"/FUNCTIONS/{f.name}") from e
+                raise MappingError("CONFIG_ERROR", f"bad pattern: {pattern}", pointer) from e
 
     # ---- introspection
 
@@ -164,10 +164,12 @@ class Mapping:
             if name not in self.config.schemas:
                 raise MappingError("REFERENCE_UNKNOWN_SCHEMA", f"unknown schema {name}", pointer)
             spec = self.config.schemas[name]
-            schema = io.load_schema(spec["ref"], list(self.schema_roots))
-            js.dialect_of(schema, spec.get("dialect"))
-            js.check_keywords(schema)
-            out.append((pointer, name, spec["ref"], schema))
+            roots = list(self.schema_roots)
+            schema = io.load_schema(spec["ref"], roots)
+            read = js.read_schema(schema, js.dialect_of(schema, spec.get("dialect")), lambda ref: io.load_schema(ref, roots))
+            for pattern in js.patterns(read):
+                self._check_pattern(pattern, f"/SCHEMA/{name}")
+            out.append((pointer, name, spec["ref"], read))
         return out
 
     # ---- execution

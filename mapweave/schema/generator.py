@@ -95,7 +95,7 @@ def _spark_type(name: str, entry: dict) -> T.DataType:
         return T.StructType([T.StructField(k, _spark_type(f"{name}.{k}", v), not (v.get("required") is True or k in needed)) for k, v in fields.items()])
     if kind == "array":
         return T.ArrayType(_spark_type(f"{name}[]", entry["items"]) if isinstance(entry.get("items"), dict) else T.VariantType())
-    simple = {"string": T.StringType(), "enum": T.StringType(), "number": T.DecimalType(38, 9), "integer": T.LongType(), "boolean": T.BooleanType()}
+    simple = {"string": T.StringType(), "enum": T.StringType(), "number": T.VariantType(), "integer": T.LongType(), "boolean": T.BooleanType()}
     if kind not in simple:
         raise ConfigValidationError(f"{name} has the unknown type {entry.get('type')}")
     return simple[kind]
