@@ -133,11 +133,11 @@ LOANS = document(
     "x",
     {
         "shelf": {"type": "string", "required": True, "constraints": ["$FUNCTIONS.shelfmark"], "description": "where it stands"},
-        "medium": {"type": "enum", "values": ["paper", "audio"], "nullable": True},
+        "medium": {"type": "string", "enum": ["paper", "audio"], "nullable": True},
         "genre": {"type": "string", "enum": ["novel", "verse"], "default": "novel"},
         "title": {"type": " String ", "minLength": 1, "maxLength": 90, "constraints": ["$FUNCTIONS.shelfmark", "$FUNCTIONS.ends", "$FUNCTIONS.stamp", "unlisted", "unlisted"]},
         "due": {"type": "string", "derive": {"function": "$FUNCTIONS.stamp"}},
-        "reader": {"type": "object", "fields": {"card": {"type": "integer", "required": True}, "names": {"type": "array", "maxItems": 3, "items": {"type": "string"}}, "fee": {"type": "number"}}, "requiredFields": ["names", "card"]},
+        "reader": {"type": "object", "fields": {"card": {"type": "integer", "required": True}, "names": {"type": "array", "maxItems": 3, "items": {"type": "string"}}, "fee": {"type": "number"}, "age": {"type": "Enum", "values": ["adult", "child"]}}, "requiredFields": ["names", "card"]},
         "notes": {"type": "object"},
         "marks": {"type": "array", "minItems": 2, "maxItems": 5},
     },
@@ -155,13 +155,13 @@ def test_generated_schema():
     assert p["genre"] == {"type": "string", "enum": ["novel", "verse"], "default": "novel"}
     assert p["title"] == {"type": "string", "minLength": 1, "maxLength": 90, "allOf": [{"pattern": "^[A-F][0-9]{3}"}, {"pattern": "[a-z]$"}], "x-constraints": ["$FUNCTIONS.stamp", "unlisted"]}
     assert p["due"] == {"type": "string", "readOnly": True}
-    assert p["reader"] == {"type": "object", "properties": {"card": {"type": "integer"}, "names": {"type": "array", "maxItems": 3, "items": {"type": "string"}}, "fee": {"type": "number"}}, "required": ["names", "card"], "additionalProperties": False}
+    assert p["reader"] == {"type": "object", "properties": {"card": {"type": "integer"}, "names": {"type": "array", "maxItems": 3, "items": {"type": "string"}}, "fee": {"type": "number"}, "age": {"type": "string", "enum": ["adult", "child"]}}, "required": ["names", "card"], "additionalProperties": False}
     assert p["notes"] == {"type": "object"} and p["marks"] == {"type": "array", "minItems": 2, "maxItems": 5}
 
 
 def test_spark_schema_and_errors():
     s = spark_schema(json.dumps(LOANS))
-    assert s["reader"].dataType.simpleString() == "struct<card:bigint,names:array<string>,fee:variant>" and not s["shelf"].nullable and s["medium"].nullable
+    assert s["reader"].dataType.simpleString() == "struct<card:bigint,names:array<string>,fee:variant,age:string>" and not s["shelf"].nullable and s["medium"].nullable
     assert s["notes"].dataType.simpleString() == "variant" and s["marks"].dataType.simpleString() == "array<variant>"
     for spec in ({"type": "array", "items": {"x": 1}}, {"type": "date"}):
         with pytest.raises(ConfigValidationError):
