@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import logging
+import os
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 from typing import Any
@@ -22,6 +24,9 @@ from mapweave.sources import io
 from . import config as cfg
 
 log = logging.getLogger("mapweave")
+#: The environment variable that turns records of compiled mappings on, and who else is told of them.
+RECORD_SWITCH = "MAPWEAVE_METRICS"
+recorders: list[Callable[[dict], None]] = []
 #: A mapping of more nodes that is used more than once gets a column of its own.
 SHARE_ABOVE = 128
 
@@ -70,7 +75,7 @@ class Mapping:
         for f in made.config.functions.values():
             if f.kind == "regex":
                 made._check_pattern(f.pattern, f"/FUNCTIONS/{f.name}")
-        log.info("compiled %s: %s", made.config.meta.get("name"), made.metrics)
+        made._record()
         return made
 
     @classmethod
@@ -105,6 +110,15 @@ class Mapping:
     def input_fields(self) -> list[str]:
         return list(self.config.inputs)
 
+    def _record(self) -> None:
+        """One record for each mapping, to the log and to `recorders`, if RECORD_SWITCH is set or there are recorders."""
+        if os.environ.get(RECORD_SWITCH, "").lower() in ("1", "true", "yes") or recorders:
+            for name, found in self.metrics.items():
+                record = {"config": self.config.meta.get("name"), "mapping": name, **found}
+                log.info("compiled %s", record)
+                for r in recorders:
+                    r(record)
+
     @cached_property
     def _uses(self) -> Counter:
         return Counter(r.name for _, node in self.config.mappings.values() for r in cfg.references(node) if r.kind == "mapping")
@@ -195,7 +209,8 @@ class Mapping:
         `payload` the fields of that JSON or Variant column.  A row that
         breaks a rule stops the query ("fail") or gets a null output and its
         diagnostics in `_diagnostics` ("quarantine"), the first being the one
-        that would have stopped it.  `with_variables` resolves all variables
+        that would have stopped it.  The mapping's REF is the output column's
+        metadata field "ref".  `with_variables` resolves all variables
         and adds `variables_json`.
         """
         if on_error not in ("fail", "quarantine"):
@@ -272,7 +287,7 @@ class Mapping:
             kinds = types_of(step, [F.struct(*every)])
             snapshot = json_text(F.struct(*every), kinds[0])
             extra.insert(0, (snapshot if on_error == "fail" else F.when(F.size("_diagnostics") == 0, snapshot)).alias("variables_json"))
-        return step.select(*[F.col(f"`{c}`") for c in keep if c in df.columns], result.alias(output), *extra)
+        return step.select(*[F.col(f"`{c}`") for c in keep if c in df.columns], result.alias(output, metadata={"ref": self.config.mappings[name][0]}), *extra)
 
     @staticmethod
     def _message(problem: Column) -> Column:
@@ -286,13 +301,13 @@ class Mapping:
         text = json_text(F.col(name), kind, pretty)
         if options.get("on_error") == "quarantine":
             text = F.when(F.size("_diagnostics") == 0, text)
-        return out.withColumn(name, text)
+        return out.withColumn(name, text.alias(name, metadata=out.schema[name].metadata))
 
     def variant(self, df: DataFrame, *args, **options) -> DataFrame:
         """As apply, with the document as Variant: one type whatever the configuration."""
         out = self.apply(df, *args, **options)
         name = options.get("output", "output")
-        return out.withColumn(name, as_variant(F.col(name), out.schema[name].dataType))
+        return out.withColumn(name, as_variant(F.col(name), out.schema[name].dataType).alias(name, metadata=out.schema[name].metadata))
 
     def explain(self, df: DataFrame, *args, **options) -> str:
         return self.apply(df, *args, **options)._jdf.queryExecution().explainString(self._mode(df))
