@@ -86,20 +86,32 @@ def fold(text):
     return F.translate(text, UPPER, LOWER)
 
 
-def likely_in(df: DataFrame, key, keys: DataFrame, bits: int = 24) -> DataFrame:
+def bound(value, body):
+    """body(value), with value worked out once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+#: Bits of the bitmap of likely_in, at most: 32 MB.
+MOST_BITS = 28
+
+
+def likely_in(df: DataFrame, key, keys: DataFrame, inside: bool = True, bits: int | None = None) -> DataFrame:
     """The rows of df whose hash key (a long column expression) may be among keys.key: a filter ahead of a shuffle.
 
-    A bitmap of 2**bits bits, 2 MB by default, is broadcast in rows of 4 KB;
-    its size doesn't depend on the data.  Rows are let through without need
-    as it fills up, but none is lost.
+    With inside=False the rows that surely aren't, which are all others.  A
+    bitmap with 16 bits a key, up to 2**MOST_BITS bits, is broadcast in rows
+    of 4 KB, so its size is bounded however many keys there are.  Rows are
+    let through without need as it fills up, but none is lost.
     """
+    if bits is None:
+        bits = min(MOST_BITS, max(15, (16 * keys.count()).bit_length()))
     spot = lambda c: F.pmod(c, F.lit(1 << bits)) + 1
     maps = keys.select(spot(F.col("key")).alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("__bucket"))
     maps = maps.agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("__map"))
     at = F.bitmap_bit_position(spot(key))
     byte = F.conv(F.hex(F.substring(F.col("__map"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
-    found = df.join(F.broadcast(maps), (F.bitmap_bucket_number(spot(key)) == F.col("__bucket")) & (F.getbit(byte, (at % 8).cast("int")) == 1))
-    return found.drop("__bucket", "__map")
+    found = df.join(F.broadcast(maps), (F.bitmap_bucket_number(spot(key)) == F.col("__bucket")) & (F.getbit(byte, (at % 8).cast("int")) == 1), "inner" if inside else "left_anti")
+    return found.drop("__bucket", "__map") if inside else found
 
 
 def crc_mod(column, n: int):

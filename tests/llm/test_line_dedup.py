@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
@@ -12,43 +13,65 @@ def toks(line):
     return ["<*>" if re.search("[0-9]", t) else t for t in re.findall(r"[^\x20\x09-\x0D]+", line)]
 
 
-def brute(rows, min_docs):
+def brute(rows):
     """Text left for each row; None where all lines went."""
     seen = []
     for i, t in rows:
-        if t is not None:
-            for pos, line in enumerate(t.split("\n")):
-                k = toks(line)
-                if len(k) >= ld.MIN_TOKENS:
-                    seen.append((i, t, pos, (len(k), *k[: ld.DEPTH]), tuple(k)))
-    leaves = defaultdict(set)
-    for s in seen:
-        leaves[s[3]].add(s[4])
-    docs_of = defaultdict(set)
-    for s in seen:
-        docs_of[s[3], s[4]].add(s[1])
-    alike = set()
+        for pos, line in enumerate((t or "").split("\n") if t is not None else ()):
+            raw = re.findall(r"[^\x20\x09-\x0D]+", line)
+            k = toks(line)
+            if len(k) < ld.MIN_TOKENS and set(k) <= {"<*>"}:
+                k = raw
+            if k:
+                seen.append((i, t, pos, (len(k), *k[: ld.DEPTH]), tuple(k)))
+    docs_of, leaves = defaultdict(set), defaultdict(set)
+    for _, t, _, leaf, k in seen:
+        docs_of[leaf, k].add(t)
+        if len(k) >= ld.MIN_TOKENS:
+            leaves[leaf].add(k)
+    family = {}
     for leaf, members in leaves.items():
-        if len(members) > 1:
-            votes = Counter((i, w) for m in members for i, w in enumerate(m))
-            fixed = {i: w for (i, w), n in votes.items() if 2 * n > len(members)}
-            some = [m for m in members if sum(fixed.get(i) == w for i, w in enumerate(m)) >= ld.SIMILAR * len(m)]
-            if len({s[1] for s in seen if s[3] == leaf and s[4] in some}) >= min_docs:
-                alike |= {(leaf, m) for m in some}
+        if len(members) < 2:
+            continue
+        order = lambda m, leaf=leaf: (-len(docs_of[leaf, m]), " ".join(m))
+        buckets = defaultdict(list)
+        for m in members:
+            n = len(m)
+            cut = int(n * (1 - ld.SIMILAR)) + 1
+            at = lambda k, n=n, cut=cut: ld.DEPTH + k * (n - ld.DEPTH) // cut
+            for k in range(cut):
+                buckets[k, m[at(k) : at(k + 1)]].append(m)
+        near = defaultdict(list)
+        for bucket in buckets.values():
+            center = min(bucket, key=order)
+            for m in bucket if len(bucket) > 1 else ():
+                if sum(x == y for x, y in zip(m, center, strict=True)) >= ld.SIMILAR * len(m):
+                    near[m].append(center)
+        for m, centers in near.items():
+            family[leaf, m] = min(centers, key=order)
+    size = Counter((leaf, c) for (leaf, _), c in family.items())
     groups = defaultdict(list)
     for s in seen:
-        name = (s[3], None) if (s[3], s[4]) in alike else (s[3], s[4])
-        groups[name].append(s)
+        center = family.get((s[3], s[4]))
+        if size[s[3], center] > 1:
+            groups[s[3], center, True].append(s)
+    recurring = {g for g, lines in groups.items() if len({s[1] for s in lines}) >= (ld.SHORT_DOCS if g[0][0] < ld.LONG else ld.MIN_DOCS)}
+    groups = {g: lines for g, lines in groups.items() if g in recurring}
+    taken = {(s[3], s[4]) for lines in groups.values() for s in lines}
+    alone = defaultdict(list)
+    for s in seen:
+        if (s[3], s[4]) not in taken:
+            alone[s[3], s[4]].append(s)
+    groups = list(groups.values()) + [x for x in alone.values() if len({s[1] for s in x}) >= (ld.MIN_DOCS if len(x[0][4]) >= ld.MIN_TOKENS else ld.SHORT_DOCS)]
     gone = defaultdict(set)
-    for group in groups.values():
-        if len({s[1] for s in group}) >= min_docs:
-            first_id = min((s[0] is None, s[0]) for s in group)
-            first = [s for s in group if (s[0] is None, s[0]) == first_id]
-            assert len({s[1] for s in first}) == 1
-            text, pos = first[0][1], min(s[2] for s in first)
-            for s in group:
-                if (s[1], s[2]) != (text, pos):
-                    gone[s[0], s[1]].add(s[2])
+    for group in groups:
+        first_id = min((s[0] is None, s[0]) for s in group)
+        first = [s for s in group if (s[0] is None, s[0]) == first_id]
+        assert len({s[1] for s in first}) == 1
+        text, pos = first[0][1], min(s[2] for s in first)
+        for s in group:
+            if (s[1], s[2]) != (text, pos):
+                gone[s[0], s[1]].add(s[2])
     out = []
     for i, t in rows:
         lines = [x for p, x in enumerate((t or "").split("\n")) if p not in gone[i, t]]
@@ -68,7 +91,7 @@ def test_against_brute_force(docs_of):
         rows.append((i, "\n".join(lines)))
     rows += [(200, None), (201, ""), (202, "\n\n"), (203, "x " * 30000), (204, "All rights reserved by us"), (205, "All rights reserved by us"), (205, "All rights reserved by us")]
     docs = docs_of(rows).withColumn("pos", F.lit("clash")).withColumn("leaf", F.lit(7)).repartition(3)
-    want = brute(rows, ld.MIN_DOCS)
+    want = brute(rows)
     report = ld.drop_recurring_lines(docs, report=True).collect()
     assert sorted((r.doc_id, r.n_lines_dropped) for r in report) == sorted((i, n) for i, _, n in want)
     got = ld.drop_recurring_lines(docs)
@@ -77,6 +100,29 @@ def test_against_brute_force(docs_of):
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=key) == sorted(((i, t) for (i, was), (_, t, n) in zip(rows, want, strict=True) if not n or t is not None), key=key)
 
 
+def test_families_beside_other_lines_of_their_leaf(docs_of):
+    """Two families and as many lines of no family, all with the same leading tokens and length."""
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for i in range(40):
+        lines = [f"we thank you {word()} for reading this page today"] if i % 4 == 0 else [f"we thank you all who came from {word()} lately"] if i % 4 == 1 else [f"we thank you {' '.join(word() for _ in range(6))}"]
+        rows.append((i, "\n".join([f"{word()} {word()} {word()} {word()}", *lines])))
+    left = {r.doc_id: r.text for r in ld.drop_recurring_lines(docs_of(rows)).collect()}
+    assert {i for i, t in left.items() if "reading" in t} == {0} and {i for i, t in left.items() if "came" in t} == {1}
+    assert all(left[i] == t for i, t in rows if i % 4 > 1 or i < 2)
+
+
+def test_long_text_of_repeated_lines_takes_linear_time(docs_of):
+    name = lambda k: f"{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}{chr(97 + k // 100 % 26)}{chr(97 + k // 2600)}"
+    lines = [f"{name(k)} one line of a log file" for k in range(30000)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join([*lines, "one more line of its own kind"]))]
+    began = time.perf_counter()
+    left = {r.doc_id: r.text for r in ld.drop_recurring_lines(docs_of(rows)).collect()}
+    assert left[1] == rows[0][1] and left[2] == "one more line of its own kind"
+    assert time.perf_counter() - began < 60
+
+
 def test_passage_repeated_across_documents_stays_once(docs_of):
     passage = " ".join(f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
     rows = [(i, f"{'abcdefgh'[i]} own line of one document\n{passage}") for i in range(8)]

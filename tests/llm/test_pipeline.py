@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from mapweave.llm import decontaminate as dc
-from mapweave.llm.line_dedup import MIN_DOCS
 from test_line_dedup import brute as brute_lines
 from test_near_dedup import brute as brute_near
 
@@ -58,7 +57,7 @@ def test_each_stage_against_brute_force(spark, tables):
     before = rows(kept)
     lines = cp.line_deduplication(spark, kept, folder).cache()
     assert lines.columns == columns
-    want = [(i, t) for (i, was), (_, t, n) in zip(before, brute_lines(before, MIN_DOCS), strict=True) if not n or t is not None]
+    want = [(i, t) for (i, was), (_, t, n) in zip(before, brute_lines(before), strict=True) if not n or t is not None]
     assert order(rows(lines)) == order(want) and sum(passage in (t or "") for _, t in want) == 1
     assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in lines.collect())
 
