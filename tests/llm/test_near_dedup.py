@@ -74,10 +74,32 @@ def test_one_document_of_each_group_stays(docs_of):
     docs = docs_of(rows).withColumn("id", F.lit("clash"))
     left = nd.drop_near_duplicates(docs)
     assert left.columns == docs.columns
-    want = {(i, t) for (i, t) in rows if i is None or (i, True) in {(x[0], x[3]) for x in brute(rows)}}
-    got = [(r.doc_id, r.text) for r in left.collect()]
     kept = {x[0] for x in brute(rows) if x[3]}
-    assert {i for i, _ in got} == kept and len(got) == len(set(got)) and set(got) <= want
+    got = [(r.doc_id, r.text) for r in left.collect()]
+    named = [x for x in got if x[0] is not None]
+    assert {i for i, _ in named} == kept - {None} and len(named) == len(set(named)) and set(named) <= {x for x in rows if x[0] in kept}
+    assert sorted(map(str, (x for x in got if x[0] is None))) == sorted(map(str, (x for x in rows if x[0] is None)))
+
+
+@pytest.mark.parametrize("block", [nd.BLOCK, 4])
+def test_parts_that_share_buckets(docs_of, monkeypatch, block):
+    """A large part around a center, a second part and single texts in its buckets that the center isn't like, in blocks of any size."""
+    monkeypatch.setattr(nd, "BLOCK", block)
+    rnd = random.Random(9)
+    base = [f"b{k}" for k in range(60)]
+    rows = []
+    for i in range(40):  # near the base
+        words = list(base)
+        words[rnd.randrange(60)] = f"x{i}"
+        rows.append((100 + i, " ".join(words)))
+    for i in range(12):  # near one another, and to the base in part
+        words = base[:36] + [f"y{k}" for k in range(24)]
+        words[40 + rnd.randrange(20)] = f"z{i}"
+        rows.append((200 + i, " ".join(words)))
+    for i in range(10):
+        rows.append((300 + i, " ".join(base[:45] + [f"w{i}_{k}" for k in range(15)])))
+    got = sorted(((r.id, r.n_shingles, r.component_id, r.kept) for r in nd.near_duplicates(docs_of(rows).repartition(3)).collect()), key=str)
+    assert got == brute(rows)
 
 
 def test_empty_table_and_components(spark, docs_of):
