@@ -33,7 +33,11 @@ def brute(rows):
     for leaf, members in leaves.items():
         if len(members) < 2:
             continue
-        order = lambda m, leaf=leaf: (-len(docs_of[leaf, m]), " ".join(m))
+        first = {}
+        for i, _, pos, of, k in seen:
+            if of == leaf:
+                first[k] = min(first.get(k, (True, 0, 0)), (i is None, i or 0, pos))
+        order = lambda m, leaf=leaf, first=first: (-len(docs_of[leaf, m]), first[m])
         buckets = defaultdict(list)
         for m in members:
             n = len(m)
