@@ -14,7 +14,11 @@ short text doesn't agree by chance in all of them at once.  Bins of unlike texts
 corrects: (equal / BINS - 1/16) / (1 - 1/16), held within 0 and 1.
 
 Text of one to four words has one shingle, its whole sequence.  Text without
-words has the empty fingerprint, alike to itself (1) and to nothing else (0).
+words, null or empty, has the empty fingerprint, alike to itself (1) and to
+nothing else (0).  Repeated rows have equal fingerprints, an empty table gives
+no rows, texts of any length are read whole; of bins of equal rank the lower
+number wins.  `with_fingerprint` keeps all columns but one of the result's name;
+`compare_edits` reads id and text only.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BLANK, Scratch, fold
+from .common import BLANK, Scratch, bound, fold
 
 BINS, BITS, PROBES, SHINGLE = 256, 4, 8, 5
 _LOW = 56
@@ -46,33 +50,79 @@ def _int_array(values: list[int]) -> Column:
     return F.from_json(F.lit(str(values)), "array<int>")
 
 
-def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
-    """df with the fingerprint of a text column; helper columns of the form __name_* come and go."""
-    c = lambda x: f"__{name}_{x}"
-    col = lambda x: F.col(c(x))
-    kept = df.columns
-    clean = F.trim(fold(F.coalesce(F.col(text), F.lit(""))), F.lit(" \t\n\x0b\f\r"))
-    words = F.split(clean, f"[{BLANK}]+")
-    df = df.withColumn(c("w"), F.when(clean != "", F.transform(words, lambda w: F.xxhash64(w))).otherwise(F.array().cast("array<bigint>")))
-    n = F.size(col("w"))
-    runs = F.transform(F.sequence(F.lit(0), n - SHINGLE), lambda i: F.xxhash64(*[F.get(col("w"), i + k) for k in range(SHINGLE)]))
-    few = F.when(n > 0, F.array(F.xxhash64(col("w"), n))).otherwise(F.array().cast("array<bigint>"))
+_ENDS = " \t\n\x0b\f\r"
+_NONE = "array<bigint>"
+
+
+def word_hashes(text: Column) -> Column:
+    """One hash for each word of a text."""
+    clean = F.trim(fold(text), F.lit(_ENDS))
+    return F.when(clean != "", F.transform(F.split(clean, f"[{BLANK}]+"), lambda w: F.xxhash64(w))).otherwise(F.array().cast(_NONE))
+
+
+def run_hashes(words: Column) -> Column:
+    """One hash for each run of SHINGLE words; none for fewer."""
+    n = F.size(words)
+    runs = F.transform(F.sequence(F.lit(0), n - SHINGLE), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(SHINGLE)]))
+    return F.when(n >= SHINGLE, runs).otherwise(F.array().cast(_NONE))
+
+
+def pack(runs: Column, words: Column) -> Column:
+    """The fingerprint of a text by its run and word hashes."""
+    few = F.when(F.size(words) > 0, F.array(F.xxhash64(words, F.size(words)))).otherwise(F.array().cast(_NONE))
     ends = F.transform(F.sequence(F.lit(-BINS // 2).cast("bigint"), F.lit(BINS // 2 - 1).cast("bigint")), lambda b: F.shiftleft(b, _LOW).bitwiseOR(F.lit(_SENTINEL)))
-    df = df.withColumn(c("s"), F.sort_array(F.concat(F.when(n >= SHINGLE, runs).otherwise(few), ends)))
     bin_of = lambda x: F.shiftright(x, _LOW)
-    df = df.withColumn(c("m"), F.filter(col("s"), lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get(col("s"), i - 1)))))
     full = lambda x: x.bitwiseAND(F.lit(_SENTINEL)) != _SENTINEL
-    at = lambda j: F.get(col("m"), j)
-    df = df.withColumn(c("f"), F.filter(F.transform(col("m"), lambda x, j: F.when(full(x), j)), lambda j: j.isNotNull()))
     probes = [_int_array(p) for p in _first_probes()]
+    ordered = F.sort_array(F.concat(F.when(F.size(words) >= SHINGLE, runs).otherwise(few), ends))
+    least = bound(ordered, lambda s: F.filter(s, lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get(s, i - 1)))))
+
+    def dense(m):
+        at = lambda j: F.get(m, j)
+
+        def filled(places):
+            def one(x, b):
+                tries = [F.when(full(at(F.get(p, b))), at(F.get(p, b))) for p in probes]
+                nearest = F.array_min(F.transform(places, lambda j: rank(b.cast("bigint"), j.cast("bigint")) * BINS + j))
+                return F.when(full(x), x).otherwise(F.coalesce(*tries, at((nearest % BINS).cast("int"))))
 
-    def filled(x, b):
-        tries = [F.when(full(at(F.get(p, b))), at(F.get(p, b))) for p in probes]
-        nearest = F.array_min(F.transform(col("f"), lambda j: rank(b.cast("bigint"), j.cast("bigint")) * BINS + j))
-        return F.when(full(x), x).otherwise(F.coalesce(*tries, at((nearest % BINS).cast("int"))))
+            return F.transform(m, one)
 
-    digits = F.transform(F.transform(col("m"), filled), lambda x, b: F.substring(F.lit("0123456789abcdef"), F.xxhash64(x, b).bitwiseAND(F.lit(15)).cast("int") + 1, F.lit(1)))
-    return df.withColumn(name, F.when(F.size(col("f")) > 0, F.array_join(digits, "")).otherwise("")).select(*kept, name)
+        empty = F.exists(m, lambda x: ~full(x))
+        return F.when(empty, bound(F.filter(F.transform(m, lambda x, j: F.when(full(x), j)), lambda j: j.isNotNull()), filled)).otherwise(m)
+
+    def written(m):
+        low = F.transform(m, lambda x, b: F.xxhash64(x, b).bitwiseAND(F.lit(15)))
+        sixteen = lambda d: lambda g: F.lpad(F.lower(F.hex(F.aggregate(F.slice(d, g * 16 + 1, F.lit(16)), F.lit(0).cast("bigint"), lambda acc, x: F.shiftleft(acc, BITS).bitwiseOR(x)))), 16, "0")
+        return bound(low, lambda d: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(BINS // 16 - 1)), sixteen(d)), ""))
+
+    return F.when(F.size(words) > 0, bound(bound(least, dense), written)).otherwise("")
+
+
+def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
+    """df with the fingerprint of a text column."""
+    words = word_hashes(F.coalesce(F.col(text), F.lit("")))
+    return df.withColumn(name, bound(words, lambda w: pack(run_hashes(w), w)))
+
+
+def with_both_fingerprints(df: DataFrame, text: str, kept: str, added: str, name: str, edited_name: str) -> DataFrame:
+    """df with the fingerprints of a text and of its edited text, which is kept, a beginning of the text, and then added.
+
+    Words of the kept part, but for its last, which added may go on, are hashed
+    once, and so are the runs of them.
+    """
+    whole = word_hashes(F.col(text))
+    # the kept part without its last run of other characters than blanks
+    sure = F.regexp_extract(F.col(kept), rf"(?s)\A(.*[{BLANK}])?[^{BLANK}]*+\z", 1)
+    n_sure = F.when(F.trim(sure, F.lit(_ENDS)) == "", F.lit(0)).otherwise(F.size(F.split(F.trim(sure, F.lit(_ENDS)), f"[{BLANK}]+")))
+    rest = word_hashes(F.concat(F.substring(F.col(kept), F.length(sure) + 1, F.length(F.col(kept))), F.col(added)))
+    df = df.withColumns({"__w": whole, "__n": n_sure, "__rest": rest}).withColumn("__r", run_hashes(F.col("__w")))
+    edited = F.concat(F.slice("__w", F.lit(1), F.col("__n")), F.col("__rest"))
+    same = F.greatest(F.col("__n") - (SHINGLE - 1), F.lit(0))
+    # runs that begin among the last words of the kept part hold others
+    edited_runs = F.concat(F.slice("__r", F.lit(1), same), run_hashes(F.concat(F.slice("__w", same + 1, F.col("__n") - same), F.col("__rest"))))
+    df = df.withColumn("__e", edited).withColumn("__er", edited_runs)
+    return df.withColumns({name: pack(F.col("__r"), F.col("__w")), edited_name: pack(F.col("__er"), F.col("__e"))}).drop("__w", "__n", "__rest", "__r", "__e", "__er")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -133,10 +183,10 @@ def compare_edits(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     joined = named.join(heads, named.id == heads.for_id, "left").drop("for_id")
     joined = joined.unionByName(base.filter("id is null"), allowMissingColumns=True)
     n = F.length("text")
-    edited = F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 4) as int))"), F.expr("left(coalesce(head, ''), cast(floor(length(text) / 4) as int))"))
-    joined = joined.select("id", "next_id", "text", edited.alias("edited"))
-    both = with_fingerprint(with_fingerprint(joined, "text", "fingerprint"), "edited", "edited_fingerprint")
-    both = both.select("id", "next_id", F.xxhash64("text").alias("key"), n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint")
+    kept, added = F.expr("left(text, length(text) - cast(floor(length(text) / 4) as int))"), F.expr("left(coalesce(head, ''), cast(floor(length(text) / 4) as int))")
+    joined = joined.select("id", "next_id", "text", kept.alias("kept"), added.alias("added"))
+    both = with_both_fingerprints(joined, "text", "kept", "added", "fingerprint", "edited_fingerprint")
+    both = both.select("id", "next_id", F.xxhash64("text").alias("key"), n.cast("long").alias("n_chars"), F.sha2(F.concat("kept", "added"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint")
     both = scratch.store(both)
     following = both.join(ids.select("id", "key"), ["id", "key"]).groupBy("id").agg(F.any_value("fingerprint").alias("next_fingerprint")).withColumnRenamed("id", "next_id")
     out = both.join(following, "next_id", "left")

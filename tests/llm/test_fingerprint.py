@@ -83,3 +83,49 @@ def test_repeated_rows_null_ids_and_empty_table(docs_of):
 def test_no_python_in_the_plan(docs_of):
     plan = fp.with_fingerprint(docs_of([(1, "a")]), "text", "f")._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def plain(spark, text):
+    """The fingerprint by its definition, one text at a time; hashes alone are Spark's."""
+    w = words(text)
+    if not w:
+        return ""
+    hash_of = lambda *parts: spark.sql(f"SELECT xxhash64({', '.join(parts)}) AS h").first().h
+    hw = [r.h for r in spark.createDataFrame([(k, x) for k, x in enumerate(w)], "k int, w string").orderBy("k").select(F.xxhash64("w").alias("h")).collect()]
+    if len(w) < 5:
+        runs = [hash_of(f"array({', '.join(f'{x}L' if x != -(1 << 63) else 'bigint(\'-9223372036854775808\')' for x in hw)})", str(len(hw)))]
+    else:
+        rows = [(hw[i : i + 5]) for i in range(len(hw) - 4)]
+        runs = [r.h for r in spark.createDataFrame(rows, "a long, b long, c long, d long, e long").select(F.xxhash64("a", "b", "c", "d", "e").alias("h")).collect()]
+    bins = [None] * fp.BINS
+    for x in runs:
+        if x & fp._SENTINEL != fp._SENTINEL:
+            b = (x >> 56) + fp.BINS // 2
+            bins[b] = x if bins[b] is None else min(bins[b], x)
+    full = [j for j, x in enumerate(bins) if x is not None]
+    dense = [x if x is not None else bins[min(full, key=lambda j: (fp.rank(b, j), j))] for b, x in enumerate(bins)]
+    low = spark.createDataFrame(list(enumerate(dense)), "b int, x long").orderBy("b").select(F.xxhash64("x", "b").bitwiseAND(F.lit(15)).alias("d")).collect()
+    return "".join("0123456789abcdef"[r.d] for r in low)
+
+
+def test_fingerprints_against_their_definition(spark, docs_of, result):
+    rows, got = result
+    ordered = sorted(rows)
+    for k in (0, 3, 7, 20, 55, len(ordered) - 1):
+        i, t = ordered[k]
+        t, nxt = t or "", ordered[(k + 1) % len(ordered)][1] or ""
+        m = len(t) // 4
+        assert got[i].fingerprint == plain(spark, t)
+        assert got[i].edited_fingerprint == plain(spark, t[: len(t) - m] + nxt[:m]), i
+
+
+def test_edits_of_any_cut_equal_the_edited_text(spark):
+    rnd = random.Random(11)
+    rows = []
+    for k in range(300):
+        text = "".join(rnd.choice(["a", "bc", "D", "é", " ", "  ", "\n", "\t "]) for _ in range(rnd.randrange(0, 40)))
+        rows.append((k, text, text[: rnd.randrange(len(text) + 1)], "".join(rnd.choice(["x", "Y", " ", "\n"]) for _ in range(rnd.randrange(0, 9)))))
+    rows.append((999, "long " * 60000, "long " * 45000 + "lo", "ng end"))
+    df = spark.createDataFrame(rows, "k int, text string, kept string, added string").withColumn("whole", F.concat("kept", "added"))
+    out = fp.with_fingerprint(fp.with_fingerprint(fp.with_both_fingerprints(df, "text", "kept", "added", "f", "e"), "text", "f2"), "whole", "e2")
+    assert all(r.f == r.f2 and r.e == r.e2 for r in out.collect())
