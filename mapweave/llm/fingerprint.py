@@ -62,9 +62,12 @@ def word_hashes(text: Column) -> Column:
 
 def run_hashes(words: Column) -> Column:
     """One hash for each run of SHINGLE words; none for fewer."""
-    n = F.size(words)
-    runs = F.transform(F.sequence(F.lit(0), n - SHINGLE), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(SHINGLE)]))
-    return F.when(n >= SHINGLE, runs).otherwise(F.array().cast(_NONE))
+
+    def runs(w):
+        at = F.sequence(F.lit(0), F.size(w) - SHINGLE)
+        return F.when(F.size(w) >= SHINGLE, F.transform(at, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE)]))).otherwise(F.array().cast(_NONE))
+
+    return bound(words, runs)
 
 
 def pack(runs: Column, words: Column) -> Column:
