@@ -98,3 +98,23 @@ def test_last_stage_carries_the_mix_out(spark):
     times = lambda k: sorted(got[100 * k + i] for i in range(10))
     assert times(0) == [2] * 10 and times(1) == [1] * 3 + [2] * 7 and times(2) == [0] * 2 + [1] * 8
     assert got == Counter({r.doc_id: r.repetitions for r in cp.source_mixing(spark, df, "").collect() if r.repetitions})
+
+
+def test_empty_tables_go_through_every_stage(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    folder = str(tmp_path)
+    spark.createDataFrame([], schema).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    assert cp.run(spark, folder).collect() == []
+
+
+def test_nulls_and_odd_texts_go_through_every_stage(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    folder = str(tmp_path)
+    rows = [(None, None, None, None, None), (1, None, "en", "a", None), (2, "", None, "a", 0), (3, " \n\t", "en", None, 3), (4, "x " * 200000, "en", "a", 400000), (None, "no id but some words of text", "en", "b", 28), (5, "a\x00b \u2028 é", "fr", "b", 8), (5, "a\x00b \u2028 é", "fr", "b", 8)]
+    spark.createDataFrame(rows, schema).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (None, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, None), (None, "some item that nothing holds at all")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    got = Counter(r.doc_id for r in cp.run(spark, folder).collect())
+    assert got[4] >= 1 and got[5] <= 2

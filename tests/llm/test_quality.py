@@ -1,4 +1,6 @@
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -53,6 +55,56 @@ def test_compiled_rules_equal_the_model(tables):
     assert np.allclose([r.p for r in rows], 1 / (1 + np.exp(-model.logit(x))))
 
 
+def by_hand(t):
+    """The statistics of one text in plain Python."""
+    t = t or ""
+    w = re.split(r"[\x20\x09-\x0D]+", t.strip(" \t\n\x0b\f\r"))
+    lines, n = t.split("\n"), len(t)
+    share = lambda x, of: x / of if of else 0.0
+    return [
+        math.log1p(n), share(n, len(w)), share(len(set(w)), len(w)), share(sum(a == b for a, b in zip(w, w[1:], strict=False)), len(w)), share(len(set(lines)), len(lines)), math.log1p(share(n, len(lines))),
+        share(len(re.findall("[A-Z]", t)), n), share(len(re.findall("[0-9]", t)), n), share(len(re.findall(r"[#$%&*+/<=>@^_`{|}~\[\]\\]", t)), n), *(share(t.count(c), len(w)) for c in "!.,|"),
+    ]
+
+
+def test_scores_against_brute_force(tables):
+    """Every score from the texts alone: statistics, rules and weights worked out one document at a time."""
+    docs, _, d, lab = tables
+    model = q.fit(d, lab)
+    want = []
+    for i, t in docs:
+        x = by_hand(t)
+        logit = model.bias + sum(w for r, w in model.rules if all((x[k] > at) == above for k, above, at in r.tests))
+        want.append((str(i), len(t or ""), round(1 / (1 + math.exp(-logit)), 9)))
+    got = [(str(r.doc_id), len(r.text or ""), round(r.p, 9)) for r in q.score_quality(d, model, name="p").collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_query_against_brute_force(spark):
+    folder = "/root/testdata/sf0.001"
+    rows = {r.doc_id: r for r in q.op1(spark, folder).collect()}
+    docs = spark.read.parquet(f"{folder}/documents.parquet").collect()
+    model = q.fit(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"))
+    assert len(rows) == len(docs)
+    for d in docs:
+        x = by_hand(d.text)
+        logit = model.bias + sum(w for r, w in model.rules if all((x[k] > at) == above for k, above, at in r.tests))
+        r = rows[d.doc_id]
+        assert r.score == pytest.approx(1 / (1 + math.exp(-logit))) and r.predicted == (r.score >= 0.5) and r.held_out == (zlib.crc32(str(d.doc_id).encode()) % 3 == 1)
+
+
+def test_weights_are_at_the_minimum():
+    """No weight can be moved to a lower penalised loss: the gradient is within the penalty, and meets it where a weight isn't zero."""
+    rnd = np.random.default_rng(1)
+    x = rnd.normal(size=(3000, len(q.STATISTICS)))
+    y = (x[:, 0] + 0.5 * x[:, 3] + rnd.normal(size=3000) > 0).astype(float)
+    model = q.fit_rules(x, y)
+    off = 1 / (1 + np.exp(-model.logit(x))) - y
+    assert model.rules and abs(off.mean()) < 2e-3
+    for r, w in model.rules:
+        assert np.mean(off * r.holds(x)) + q.PENALTY * np.sign(w) == pytest.approx(0, abs=2e-3)
+
+
 def test_learns_from_no_held_out_label(tables):
     _, labels, d, lab = tables
     flipped = lab.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, 1 - F.col("quality")).otherwise(F.col("quality")))
