@@ -1,4 +1,13 @@
-"""The corpus pipeline: five operators, each on all that the one before it kept."""
+"""The corpus pipeline: five operators, each on all that the one before it kept.
+
+Nulls in any column, empty and blank texts, rows without id, repeated rows and
+very long texts go through every stage, and stay unless its decision is
+against them: a text without words is judged by its score alone, has no line
+to lose, is like no other text, contains no item and has size 0 in the mix.
+Empty tables give an empty result.  Further columns pass through; those that
+the mix makes (size, source_size, target, repetitions, taken, repetition) are
+replaced where a table has them.
+"""
 
 from __future__ import annotations
 
@@ -53,9 +62,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each result is written and read again."""
+    """All stages over the documents; each result is written and read again, and a stage's own tables go when it is done."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
+        before = len(Scratch.open)
         docs = scratch.store(stage(spark, docs, sf_dir))
+        Scratch.clear_since(before)
     return docs
