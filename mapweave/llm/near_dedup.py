@@ -9,7 +9,7 @@ bins in bands of ROWS.  Classes in one bucket are tied to the bucket's
 smallest member: star edges, at most one per class and band.
 
 Every star edge is judged first: a center and its members are dealt in chunks
-of about BLOCK members, so a hot center is judged by many tasks, and all pairs
+of about CHUNK members, so a hot center is judged by many tasks, and all pairs
 of a chunk that aren't yet connected are judged with it.  What is linked is
 joined to parts (connected components).  A bucket whose members are all in one
 part is done, and nearly all are.  In the others every pair of different parts
@@ -53,6 +53,8 @@ BANDS = BINS // ROWS
 LIKELY, SMALL = 64, 64
 #: Classes and shingles that one block holds on average, at most.
 BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
+#: Members of a center that one task judges, on average, at most.
+CHUNK = 256
 
 _EMPTY = np.uint64(2**64 - 1)
 _SHIFT = np.uint64(64 - BINS.bit_length() + 1)
@@ -204,9 +206,9 @@ def _judge(asked: DataFrame, rows: DataFrame, reps: DataFrame, scratch: Scratch)
     return scratch.store(dealt.mapInArrow(_verify, "a long, b long"))
 
 
-def _blocks(n, n_shingles):
-    """How many blocks of BLOCK members and BLOCK_SHINGLES shingles on average, at most."""
-    return F.greatest(F.lit(1), F.ceil(n / BLOCK), F.ceil(n_shingles / BLOCK_SHINGLES)).cast("long")
+def _blocks(n, n_shingles, size: int | None = None):
+    """How many blocks of size (or BLOCK) members and BLOCK_SHINGLES shingles on average, at most."""
+    return F.greatest(F.lit(1), F.ceil(n / (size or BLOCK)), F.ceil(n_shingles / BLOCK_SHINGLES)).cast("long")
 
 
 def _block(salt: int, n):
@@ -220,7 +222,7 @@ def _links(classes: DataFrame, reps: DataFrame, rows: DataFrame, scratch: Scratc
     shared = scratch.store(spread.join(centers, "bucket"))
     # 1: the star edges, by chunks of a center's members
     stars = scratch.store(shared.filter("rep != center").select("center", "rep", "n_shingles").distinct())
-    sizes = scratch.store(stars.groupBy("center").agg(_blocks(F.count("*"), F.sum("n_shingles")).alias("n_chunks")))
+    sizes = scratch.store(stars.groupBy("center").agg(_blocks(F.count("*"), F.sum("n_shingles"), CHUNK).alias("n_chunks")))
     chunk = _block(1, F.col("n_chunks"))
     asked = stars.join(sizes, "center").select(F.col("center").alias("group"), chunk.alias("i"), "rep")
     heads = sizes.select(F.col("center").alias("group"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_chunks") - 1)).alias("i"), F.col("center").alias("rep"))

@@ -63,6 +63,7 @@ def make(seed=11):
 @pytest.mark.parametrize("block", [nd.BLOCK, 3])
 def test_against_all_pairs(docs_of, monkeypatch, block):
     monkeypatch.setattr(nd, "BLOCK", block)
+    monkeypatch.setattr(nd, "CHUNK", min(block, nd.CHUNK))
     rows = make()
     docs = docs_of(rows).withColumn("id", F.lit("clash")).withColumn("rep", F.lit(1)).repartition(4)
     got = sorted(((r.id, r.n_shingles, r.component_id, r.kept) for r in nd.near_duplicates(docs).collect()), key=str)
@@ -85,6 +86,7 @@ def test_one_document_of_each_group_stays(docs_of):
 def test_parts_that_share_buckets(docs_of, monkeypatch, block):
     """A large part around a center, a second part and single texts in its buckets that the center isn't like, in blocks of any size."""
     monkeypatch.setattr(nd, "BLOCK", block)
+    monkeypatch.setattr(nd, "CHUNK", min(block, nd.CHUNK))
     rnd = random.Random(9)
     base = [f"b{k}" for k in range(60)]
     rows = []
