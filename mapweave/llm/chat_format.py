@@ -45,6 +45,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import bound
+
 RUN, PIECE = 64, 192
 START, END = "<|im_start|>", "<|im_end|>\n"
 #: Control strings of common templates: fixed values.
@@ -125,11 +127,6 @@ def parse(text: Column) -> Column:
     return F.transform(turns, one)
 
 
-def _bound_to(value: Column, body) -> Column:
-    """body(value), with value worked out once."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def loss_spans(segments: Column) -> Column:
     """The loss mask as array of (start, end) in code points of the formatted text.
 
@@ -147,20 +144,25 @@ def loss_spans(segments: Column) -> Column:
     def moved(pieces):
         offsets = F.aggregate(pieces, F.array(F.lit(0)), lambda acc, p: F.array_append(acc, F.element_at(acc, -1) + p["at"]))
         shift = lambda off: lambda p, k: F.transform(p["spans"], lambda x: F.struct((x["start"] + F.get(off, k)).alias("start"), (x["end"] + F.get(off, k)).alias("end")))
-        return _bound_to(offsets, lambda off: F.flatten(F.transform(pieces, shift(off))))
+        return bound(offsets, lambda off: F.flatten(F.transform(pieces, shift(off))))
 
     firsts = F.sequence(F.lit(0), F.greatest(F.size(segments) - 1, F.lit(0)), F.lit(PIECE))
     pieces = F.transform(firsts, lambda k: F.aggregate(F.slice(segments, k + 1, F.lit(PIECE)), none, step))
-    return _bound_to(pieces, moved)
+    return bound(pieces, moved)
 
 
 def masked_text(whole: Column, spans: Column) -> Column:
     """What stands in a formatted text under a mask, unescaped, nothing between.
 
     Read from four bytes a code point, so that a place is found without counting up to it.
+    A letter goes ahead of what is decoded, where a U+FEFF would be taken for a byte order mark.
     """
-    part = lambda wide: lambda x: F.decode(F.substring(wide, x["start"] * 4 + 1, (x["end"] - x["start"]) * 4), "UTF-32")
-    return _bound_to(F.encode(whole, "UTF-32"), lambda wide: F.array_join(F.transform(spans, lambda x: unescape(part(wide)(x))), ""))
+
+    def part(wide, x):
+        taken = F.substring(wide, x["start"] * 4 + 1, (x["end"] - x["start"]) * 4)
+        return F.substring(F.decode(F.concat(F.encode(F.lit("x"), "UTF-32"), taken), "UTF-32"), F.lit(2), x["end"] - x["start"])
+
+    return bound(F.encode(whole, "UTF-32"), lambda wide: F.array_join(F.transform(spans, lambda x: unescape(part(wide, x))), ""))
 
 
 def _hash_paths(paths) -> str:
@@ -186,7 +188,7 @@ def field_paths(record: Column) -> Column:
             has.append(F.when(F.coalesce(found, F.lit(False)), F.lit(path)))
         return F.when(F.schema_of_variant(v).startswith("OBJECT"), F.array_join(F.array_compact(F.array(*has)), "\n"))
 
-    return _bound_to(value, paths)
+    return bound(value, paths)
 
 
 def fingerprint(record: Column) -> Column:

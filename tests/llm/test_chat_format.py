@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from mapweave.llm import chat_format as cf
 
-PARTS = [*cf.CONTROL, "<", "[", "\\", "\\l", "\\b", "\\k", "\\j", "\n", "<<s>", "[[INST]", "é", "😀", "a b", "<|im_", "end|>\n", "<|im_end|>\n<|im_start|>assistant\n"]
+PARTS = [*cf.CONTROL, "<", "[", "\\", "\\l", "\\b", "\\k", "\\j", "\n", "<<s>", "[[INST]", "é", "😀", "\ufeff", "a b", "<|im_", "end|>\n", "<|im_end|>\n<|im_start|>assistant\n"]
 
 
 def brute(rows):
