@@ -276,9 +276,9 @@ def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column
     Rows that agree in id and text are one document, of which one row stays, whichever other columns it has; rows without id all stay.
     """
     found = near_duplicates(docs, id_column, text_column)
-    gone = found.filter("not kept").select(F.col("id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
+    gone = found.filter("not kept").select(F.col("id").alias("__gone_id"), F.col("text_key").alias("__gone_key")).distinct()
     keyed = docs.withColumn("__text_key", F.xxhash64(text_column))
-    left = keyed.join(gone, (F.col(id_column) == F.col("gone_id")) & (F.col("__text_key") == F.col("gone_key")), "left_anti")
+    left = keyed.join(gone, (F.col(id_column) == F.col("__gone_id")) & (F.col("__text_key") == F.col("__gone_key")), "left_anti")
     # rows of one id and one text are one document; rows without id can't be told to be
     once = left.withColumn("__nth", F.when(F.col(id_column).isNull(), F.monotonically_increasing_id()))
     return once.dropDuplicates([id_column, "__text_key", "__nth"]).select(*docs.columns)

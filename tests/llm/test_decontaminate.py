@@ -29,13 +29,13 @@ def make(seed=2):
 
 
 def brute(docs, items):
-    out = []
+    out, wanted = [], {(k, x): dc.word_shingles(x) for k, x in items if x}
     for i, t in docs:
         words = dc.words_of(t)
-        for k, x in {(k, x) for k, x in items if x}:
-            want = dc.word_shingles(x)
+        runs = {n: {tuple(words[a : a + n]) for a in range(len(words) - n + 1)} for n in range(1, 6)}
+        for (k, _), want in wanted.items():
             for n in {len(g) for g in want}:
-                have = {tuple(words[a : a + n]) for a in range(len(words) - n + 1)}
+                have = runs[n]
                 if 100 * len(want & have) >= 75 * len(want):
                     out.append((i, k, len(want), len(want & have)))
     return sorted(out, key=str)
@@ -73,7 +73,7 @@ def test_sketches_lose_nothing():
 
 def test_query_with_a_short_item_against_its_sql(spark, docs_of, tmp_path):
     docs, items = make(7)
-    docs, items = [d for d in docs if d[0] is not None], [x for x in items if x[0] != 10]
+    docs, items = [d for d in docs if d[0] is not None and len(d[1] or "") < 10_000], [x for x in items if x[0] != 10]
     docs_of(docs).write.parquet(str(tmp_path / "documents.parquet"))
     docs_of(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     con = duckdb.connect()
