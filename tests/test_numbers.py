@@ -65,7 +65,7 @@ def test_arithmetic_of_columns_equals_that_of_constants(spark, name):
         assert r.output == want(r.a, r.b) and [d.code for d in r["_diagnostics"]] == ([] if r.output is not None else ["VARIABLE_DERIVE"]), r
 
 
-@settings(max_examples=30, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(values=st.lists(st.decimals(allow_nan=False, allow_infinity=False, places=6, min_value=-(10**9), max_value=10**9), min_size=3, max_size=3))
 def test_sums_of_three_keep_every_digit(spark, values):
     texts = [format(v, "f") for v in values]
