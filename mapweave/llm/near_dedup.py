@@ -52,7 +52,7 @@ BANDS = BINS // ROWS
 #: Least equal bins (of BINS) for a pair to be judged on the full sets, and the set size up to which sketches don't matter.
 LIKELY, SMALL = 64, 64
 #: Classes and shingles that one block holds on average, at most.
-BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
+BLOCK, BLOCK_SHINGLES = 256, 1_000_000
 #: Members of a center that one task judges, on average, at most.
 CHUNK = 256
 
