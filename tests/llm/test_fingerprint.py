@@ -117,15 +117,3 @@ def test_fingerprints_against_their_definition(spark, docs_of, result):
         m = len(t) // 4
         assert got[i].fingerprint == plain(spark, t)
         assert got[i].edited_fingerprint == plain(spark, t[: len(t) - m] + nxt[:m]), i
-
-
-def test_edits_of_any_cut_equal_the_edited_text(spark):
-    rnd = random.Random(11)
-    rows = []
-    for k in range(300):
-        text = "".join(rnd.choice(["a", "bc", "D", "é", " ", "  ", "\n", "\t "]) for _ in range(rnd.randrange(0, 40)))
-        rows.append((k, text, text[: rnd.randrange(len(text) + 1)], "".join(rnd.choice(["x", "Y", " ", "\n"]) for _ in range(rnd.randrange(0, 9)))))
-    rows.append((999, "long " * 60000, "long " * 45000 + "lo", "ng end"))
-    df = spark.createDataFrame(rows, "k int, text string, kept string, added string").withColumn("whole", F.concat("kept", "added"))
-    out = fp.with_fingerprint(fp.with_fingerprint(fp.with_both_fingerprints(df, "text", "kept", "added", "f", "e"), "text", "f2"), "whole", "e2")
-    assert all(r.f == r.f2 and r.e == r.e2 for r in out.collect())
