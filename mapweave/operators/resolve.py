@@ -110,7 +110,8 @@ class Variables:
                     out = self._generated(v, value, "double" if function.fn in columns.ARITHMETIC else "string")
                     if failed is not None:
                         out.problem = F.when(F.coalesce(failed, F.lit(True)), diagnostic("VARIABLE_DERIVE", f"{function.fn} failed", where)).otherwise(out.problem)
-                        out.value = F.when(~F.coalesce(failed, F.lit(True)), out.value)
+                        if function.fn not in columns.ARITHMETIC:  # which gives null where it fails
+                            out.value = F.when(~F.coalesce(failed, F.lit(True)), out.value)
                     return out
                 made = exact.evaluate(function.fn, bound)
             except BuiltinError as e:
