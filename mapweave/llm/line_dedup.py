@@ -6,16 +6,17 @@ digit counts as the wildcard <*>.  In a leaf, lines with the same tokens after
 masking share a template.
 
 A leaf may hold several families of templates that differ in other fields, and
-any number of lines that belong to none.  Families are found by cutting the
-positions after the leading ones into one part more than may differ
-(1 - SIMILAR of all): two templates that agree at SIMILAR of all positions
-agree in one part at least, and the templates with one part in common are a
-bucket.  A bucket's center is its template with the most documents, of these
-the one whose first place comes first; the templates that agree with it at
-SIMILAR of all positions or more are alike to it.  A template goes with the
-center, among those it is alike to, that has the most documents, again the one
-that comes first.  The lines of one center's templates are its family, with the center as
-its general template.
+any number of lines that belong to none.  Two templates that agree at SIMILAR of
+all positions are linked; the lines of templates that links connect, directly or
+by others, are a family.  Every link between different families would be found:
+the positions after the leading ones are cut into one part more than may differ,
+so linked templates agree in one part at least, and the templates with one part
+in common are a bucket.  (Where only one position may differ, a bucket has all
+positions but one in common, so that all in it are linked.)  Each bucket's center,
+its template with the most documents, is compared with all others there.  Of what
+is still apart in a bucket, each template takes as many of its positions as parts,
+those whose tokens the fewest have at this place: linked templates have one of
+them in common, and are compared if they do.
 
 A template or family recurs from MIN_DOCS documents on; documents with the
 same text count as one, so whole copies are left to near-duplicate removal.
@@ -47,7 +48,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANK, Scratch, bound, likely_in
+from .common import BLANK, Scratch, bound, components, likely_in
 
 MIN_TOKENS, DEPTH, SIMILAR = 3, 3, 0.75
 LONG, MIN_DOCS, SHORT_DOCS = 8, 2, 3
@@ -68,37 +69,83 @@ def _located(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"), F.xxhash64(text_column).alias("key"))
 
 
+def _cut(n):
+    """One more than the positions of n that may differ."""
+    return F.floor(n * (1 - SIMILAR)).cast("int") + 1
+
+
 def _parts(tokens):
-    """A hash of the tokens in each part of the positions after the leading ones."""
+    """A hash of the tokens in each part of the positions after the leading ones; where one may differ, of all but each."""
     n = F.size(tokens)
-    cut = F.floor(n * (1 - SIMILAR)).cast("int") + 1
+    cut = _cut(n)
     start = lambda k: F.lit(DEPTH) + F.floor(k * (n - DEPTH) / cut).cast("int")
-    return F.transform(F.sequence(F.lit(0), cut - 1), lambda k: F.xxhash64(k, F.slice(tokens, start(k) + 1, start(k + 1) - start(k))))
+    parts = F.transform(F.sequence(F.lit(0), cut - 1), lambda k: F.xxhash64(k, F.slice(tokens, start(k) + 1, start(k + 1) - start(k))))
+    others = F.transform(F.sequence(F.lit(DEPTH), n - 1), lambda k: F.xxhash64(k, F.slice(tokens, 1, k), F.slice(tokens, k + 2, n)))
+    return F.when(cut == 2, others).otherwise(parts)
+
+
+def _linked(pairs: DataFrame, spelled: DataFrame) -> DataFrame:
+    """Of pairs (leaf, template, other, ...), those that agree at SIMILAR of all positions."""
+    words = spelled.select("leaf", "template", "tokens")
+    pairs = pairs.join(words, ["leaf", "template"])
+    pairs = pairs.join(words.withColumnsRenamed({"template": "other", "tokens": "others"}), ["leaf", "other"])
+    same = F.size(F.filter("tokens", lambda t, i: t == F.get("others", i)))
+    return pairs.filter(same >= SIMILAR * F.size("tokens")).drop("tokens", "others")
+
+
+def _pairs_apart(members: DataFrame, spelled: DataFrame, scratch: Scratch) -> DataFrame:
+    """(leaf, template, other, part, other_part) of all pairs in different parts that may be linked; members: (leaf, template, part).
+
+    Linked templates differ in fewer than cut positions, so they have one of the
+    cut first in common, in any order of tokens and places that holds for the leaf.
+    """
+    words = spelled.select("leaf", "template", _cut(F.col("size")).alias("cut"), F.slice("tokens", F.lit(DEPTH + 1), F.col("size")).alias("tokens"))
+    at = members.join(words, ["leaf", "template"]).select("leaf", "template", "part", "cut", F.posexplode("tokens").alias("pos", "token"))
+    at = scratch.store(at.select("leaf", "template", "part", "cut", F.xxhash64("pos", "token").alias("at")))
+    counts = scratch.store(at.groupBy("leaf", "at").agg(F.count("*").alias("n")))
+    rare = at.join(counts, ["leaf", "at"]).groupBy("leaf", "template", "part", "cut").agg(F.sort_array(F.collect_list(F.struct("n", "at"))).alias("ats"))
+    rare = rare.select("leaf", "template", "part", F.explode(F.slice("ats", F.lit(1), F.col("cut"))).alias("x")).filter("x.n > 1")
+    rare = scratch.store(rare.select("leaf", "template", "part", "x.at"))
+    by_part = rare.groupBy("leaf", "at", "part").agg(F.count("*").alias("n"))
+    # each outside the largest part of its bucket meets all in other parts
+    largest = by_part.groupBy("leaf", "at").agg(F.max(F.struct("n", "part")).alias("m"), F.count("*").alias("parts")).filter("parts > 1")
+    largest = scratch.store(largest.select("leaf", "at", F.col("m.part").alias("main")))
+    held = scratch.store(rare.join(largest, ["leaf", "at"]))
+    others = held.drop("main").withColumnsRenamed({"template": "other", "part": "other_part"})
+    pairs = held.filter("part != main").join(others, ["leaf", "at"]).filter("part != other_part and (other_part = main or template < other)")
+    return pairs.select("leaf", "template", "other", "part", "other_part").distinct()
 
 
 def _families(spelled: DataFrame, scratch: Scratch) -> DataFrame:
-    """(leaf, template, size, family) of the templates that go with a center; spelled: (leaf, template, n_docs, first, tokens)."""
-    rank = F.struct((-F.col("n_docs")).alias("n"), "first", "template")
-    dealt = spelled.select("leaf", rank.alias("rank"), F.explode(_parts(F.col("tokens"))).alias("part"))
+    """(leaf, template, size, family) of the templates that are linked; spelled: (leaf, template, n_docs, size, tokens)."""
+    rank = F.struct((-F.col("n_docs")).alias("n"), "template")
+    dealt = spelled.select("leaf", rank.alias("rank"), F.explode(_parts(F.col("tokens"))).alias("bucket"))
     dealt = scratch.store(dealt)
-    centers = scratch.store(dealt.groupBy("leaf", "part").agg(F.min("rank").alias("center"), F.count("*").alias("size")).filter("size > 1").drop("size"))
-    pairs = dealt.join(centers, ["leaf", "part"]).select("leaf", F.col("rank.template").alias("template"), "center").distinct()
+    centers = dealt.groupBy("leaf", "bucket").agg(F.min("rank").alias("center"), F.count("*").alias("n")).filter("n > 1")
+    centers = scratch.store(centers.select("leaf", "bucket", F.col("center.template").alias("other")))
+    shared = dealt.join(centers, ["leaf", "bucket"]).select("leaf", "bucket", F.col("rank.template").alias("template"), "other").filter("template != other")
+    shared = scratch.store(shared)
     # tokens meet tokens once for each template and center
-    words = spelled.select("leaf", "template", "tokens")
-    pairs = pairs.join(words, ["leaf", "template"]).withColumn("of", F.col("center.template"))
-    pairs = pairs.join(words.withColumnsRenamed({"template": "of", "tokens": "others"}), ["leaf", "of"])
-    same = F.size(F.filter("tokens", lambda t, i: t == F.get("others", i)))
-    alike = pairs.filter(same >= SIMILAR * F.size("tokens"))
-    chosen = alike.groupBy("leaf", "template").agg(F.min("center").alias("center"), F.any_value(F.size("tokens")).alias("size"))
-    chosen = scratch.store(chosen.select("leaf", "template", "size", F.col("center.template").alias("family")))
-    several = chosen.groupBy("leaf", "family").agg(F.count("*").alias("members")).filter("members > 1").drop("members")
-    return scratch.store(chosen.join(several, ["leaf", "family"]))
+    links = _linked(shared.select("leaf", "template", "other").distinct(), spelled)
+    stars = components(links.select(F.col("template").alias("a"), F.col("other").alias("b")), scratch).withColumnsRenamed({"node": "of", "root": "part"})
+    # members that no center connects, the centers aside
+    placed = shared.join(stars, shared.template == stars.of, "left").select("leaf", "bucket", "template", F.coalesce("part", "template").alias("part"))
+    placed = scratch.store(placed)
+    mixed = placed.groupBy("leaf", "bucket").agg(F.min("part").alias("least"), F.max("part").alias("most")).filter("least != most")
+    mixed = scratch.store(mixed.select("leaf", "bucket"))
+    apart = scratch.store(placed.join(mixed, ["leaf", "bucket"]).select("leaf", "template", "part").distinct())
+    found = spelled.select("leaf", "template", "size").join(stars, F.col("template") == stars.of, "left").withColumn("family", F.col("part"))
+    if not apart.isEmpty():
+        links = _linked(_pairs_apart(apart, spelled, scratch), spelled)
+        joined = components(links.select(F.col("part").alias("a"), F.col("other_part").alias("b")), scratch)
+        found = found.join(joined, F.coalesce("part", "template") == joined.node, "left").withColumn("family", F.coalesce("root", "part"))
+    return scratch.store(found.filter("family is not null").select("leaf", "template", "size", "family"))
 
 
 def recurring_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", scratch: Scratch | None = None, min_docs: int = MIN_DOCS, short_docs: int = SHORT_DOCS) -> DataFrame:
     """(id, key, pos, leaf, template, general, n_docs, first) of each line that recurs.
 
-    key is the text's xxhash64; template is that of the center where general,
+    key is the text's xxhash64; template is one of the family where general,
     else the line's own; first is the first place.
     """
     scratch = scratch or Scratch(docs.sparkSession, "line-dedup")
@@ -123,9 +170,9 @@ def recurring_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str
     places = scratch.store(places)
     needed = likely_in(base, F.xxhash64("id", "key"), places.select(F.xxhash64("at_id", "at_key").alias("key")))
     texts = needed.join(places, needed.id.eqNullSafe(places.at_id) & (needed.key == places.at_key)).dropDuplicates(["id", "key"])
-    line_of = bound(F.split("text", "\n"), lambda all_lines: F.transform("places", lambda p: F.struct(p["leaf"].alias("leaf"), p["template"].alias("template"), p["n_docs"].alias("n_docs"), p["first"].alias("first"), F.get(all_lines, p["first"]["pos"]).alias("line"))))
-    spelled = texts.select(F.explode(line_of).alias("x")).select("x.leaf", "x.template", "x.n_docs", "x.first", tokens(F.col("x.line")).alias("tokens"))
-    alike = _families(scratch.store(spelled), scratch)
+    line_of = bound(F.split("text", "\n"), lambda all_lines: F.transform("places", lambda p: F.struct(p["leaf"].alias("leaf"), p["template"].alias("template"), p["n_docs"].alias("n_docs"), F.get(all_lines, p["first"]["pos"]).alias("line"))))
+    spelled = texts.select(F.explode(line_of).alias("x")).select("x.leaf", "x.template", "x.n_docs", tokens(F.col("x.line")).alias("tokens"))
+    alike = _families(scratch.store(spelled.withColumn("size", F.size("tokens"))), scratch)
 
     members = scratch.store(seen.drop("size").join(alike, ["leaf", "template"]).select("id", "key", "pos", "leaf", F.col("family").alias("template"), "size"))
     general = members.groupBy("leaf", "template", "size", "key").agg(F.min(place).alias("first")).groupBy("leaf", "template", "size").agg(F.count("*").alias("n_docs"), F.min("first").alias("first"))

@@ -156,3 +156,48 @@ def test_short_lines_take_part(spark, docs_of):
     docs = docs_of(rows).withColumn("n_chars", F.length("text").cast("long"))
     got = corpus_pipeline.line_deduplication(spark, docs, "")
     assert sorted((r.doc_id, r.text) for r in got.collect()) == want
+
+
+def test_linked_lines_beside_a_more_frequent_one(docs_of):
+    """The third and fourth line agree at 9 of 11 places and share one part alone, with the first two, which are like neither."""
+    end = "for all that"
+    rows = [(1, f"mine is this one\nwe thank you a b c d e {end}"), (2, f"his text is other\nwe thank you a b c d e {end}"), (3, f"we thank you p q r s t {end}\nof three"), (4, f"we thank you p x r s y {end}\nof four")]
+    left = {r.doc_id: r.text for r in ld.drop_recurring_lines(docs_of(rows)).collect()}
+    assert left == {1: rows[0][1], 2: "his text is other", 3: rows[2][1], 4: "of four"}
+
+
+def test_families_are_all_that_links_connect(docs_of):
+    rnd = random.Random(21)
+    lines, letters = [], "abcdefghijklmnopqrstuvwxyz"
+    for size, words, n in ((4, 20, 12), (5, 9, 40), (6, 6, 40), (7, 5, 60), (8, 5, 80), (11, 4, 80), (12, 4, 120), (16, 3, 120), (23, 3, 80)):
+        hot = [rnd.choice(letters[:words]) for _ in range(size)]
+        for _ in range(n):
+            part = rnd.randrange(ld.DEPTH, size)  # what is before it is frequent
+            lines.append(["we", "thank", "you", *(hot[k] if k < part and rnd.random() < 0.9 else rnd.choice(letters[:words]) for k in range(ld.DEPTH, size))])
+    rnd.shuffle(lines)
+    rows = [(i, " ".join(x)) for i, x in enumerate(lines)]
+    root = list(range(len(lines)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, x in enumerate(lines):
+        for j in range(i):
+            if len(x) == len(lines[j]) and sum(a == b for a, b in zip(x, lines[j], strict=True)) >= ld.SIMILAR * len(x):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    family = [find(i) for i in range(len(lines))]
+    texts = defaultdict(set)
+    for i, f in enumerate(family):
+        texts[f].add(rows[i][1])
+    first = {}
+    for i, t in rows:
+        first.setdefault(t, i)
+    need = lambda i: ld.SHORT_DOCS if len(lines[i]) < ld.LONG else ld.MIN_DOCS
+    want = {i for i, t in rows if len(texts[family[i]]) >= need(i) and t != rows[family[i]][1]}
+    got = {r.doc_id for r in ld.drop_recurring_lines(docs_of(rows), report=True).collect() if r.n_lines_dropped}
+    assert got == want and 0 < len(want) < len(rows)
+    was = {i for (i, _), (_, _, n) in zip(rows, brute(rows), strict=True) if n}
+    assert was != want  # centers alone leave some of them
